@@ -18,7 +18,7 @@ LEAST_AT_LIMIT = 6
 LIMIT_RATIO = 4.0
 NEAR = 8
 #: A closing line is seen so often as a last line, and with at least this share of its places.
-LEAST_CLOSING, CLOSING_SHARE = 4, 0.7
+LEAST_CLOSING, CLOSING_SHARE, CLOSING_CHARS = 4, 0.7, 60
 #: Code points of the end of a text that are inspected.
 TAIL = 400
 
@@ -28,6 +28,7 @@ CLOSERS = "\"'”’»“«」』)）\\]"
 _ENDED = f"[{END_MARKS}][ \\u00a0\\u2009\\u202f]?[{CLOSERS}]*$"
 _DOTS = "(\u2026|\\.\\.\\.|\\[\u2026\\]|\\[\\.\\.\\.\\])$"
 _BROKEN = "(\ufffd+|&#?[A-Za-z0-9]{0,8}|</?[A-Za-z]{0,8})$"
+_OPENING = "^(\\S+(?: \\p{Ll}\\S*){0,2}:?) ?\\p{Lu}[\\p{L} .]*$"
 #: Abbreviations before a name, a number or a noun, which close no sentence.
 _OPENING_ABBREVIATIONS = (
     "ThS|PGS|GS|TS|BS|TP|Cty|tr|sđd|Mr|Mrs|Ms|Dr|Prof|Capt|Cpt|Lt|Sgt|St|No|no|Vol|vol|ch|cf|vs|Hr|Fr|Nr|ca|bzw|Sr|Sra|Dra|Mlle|Mme|art|env|aprox"
@@ -36,43 +37,44 @@ _OPENING_ABBREVIATIONS = (
 _SPACE_END = "[\\s\\u00a0\\u2000-\\u200a\\u202f\\u3000]+$"
 
 
-def _count(text: Column, sign: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, sign, ""))
-
-
-def lengths(text: Column) -> dict[str, Column]:
-    """The length of a text as different stores would have measured it."""
-    points, octets = F.length(text), F.octet_length(text)
-    amp, angle, quote, newline = _count(text, "&"), _count(text, "<>"), _count(text, '"'), _count(text, "\n")
-    escaped = _count(text, "\\\t\r")
-    entities, json = 4 * amp + 3 * angle, quote + newline + escaped
-    return {
+def _with_core(docs: DataFrame) -> DataFrame:
+    """Texts, and those with remains of a broken transfer once more without them."""
+    kept = F.regexp_replace(F.right("text", F.lit(40)), f"\\s?{_BROKEN}", "")
+    lost = F.least(F.length("text"), F.lit(40)) - F.length(kept)
+    texts = F.when(F.col("_lost") > 0, F.array("text", F.expr("left(text, length(text) - _lost)"))).otherwise(F.array("text"))
+    return docs.withColumn("_lost", lost).withColumn("text", F.explode(texts)).drop("_lost")
+
+
+def lengths(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``sizes``: the length of the text as different stores would have measured it."""
+    signs = {"_amp": "&", "_lt": "<", "_gt": ">", "_quote": '"', "_line": "\n", "_tab": "\t", "_back": "\\"}
+    octets = {c: F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit(sign))) for c, sign in signs.items()}
+    d = docs.withColumns(octets | {"_points": F.length("text"), "_octets": F.octet_length("text"), "_utf16": F.octet_length(F.encode("text", "UTF-16BE")) / 2})
+    points, size = F.col("_points"), F.col("_octets")
+    entities = 4 * F.col("_amp") + 3 * F.col("_lt") + 3 * F.col("_gt")
+    quotes = entities + 5 * F.col("_quote")
+    json = F.col("_quote") + F.col("_line") + F.col("_tab") + F.col("_back")
+    measures = {
         "chars": points,
-        "bytes": octets,
-        "utf16": F.octet_length(F.encode(text, "UTF-16BE")) / 2,
+        "bytes": size,
+        "utf16": F.col("_utf16"),
         "chars, entities": points + entities,
-        "chars, entities and quotes": points + entities + 5 * quote,
-        "bytes, entities": octets + entities,
-        "bytes, entities and quotes": octets + entities + 5 * quote,
+        "chars, entities and quotes": points + quotes,
+        "bytes, entities": size + entities,
+        "bytes, entities and quotes": size + quotes,
         "chars, json": points + json,
-        "bytes, json": octets + json,
-        "chars, crlf": points + newline,
-        "bytes, crlf": octets + newline,
+        "bytes, json": size + json,
+        "chars, crlf": points + F.col("_line"),
+        "bytes, crlf": size + F.col("_line"),
     }
-
-
-def _sizes() -> Column:
-    """All measures of ``text``, also of it without the remains of a broken transfer where it has any."""
-    kept = F.regexp_replace(F.right("text", F.lit(TAIL)), f"\\s?{_BROKEN}", "")
-    lost = F.least(F.length("text"), F.lit(TAIL)) - F.length(kept)
-    of = lambda text: F.array(*[F.struct(F.lit(k).alias("measure"), v.cast("int").alias("size")) for k, v in lengths(text).items()])
-    core = F.substring("text", F.lit(1), F.length("text") - lost)
-    return F.when(lost > 0, F.concat(of(F.col("text")), of(core))).otherwise(of(F.col("text")))
+    d = d.withColumn("sizes", F.array(*[F.struct(F.lit(k).alias("measure"), v.cast("int").alias("size")) for k, v in measures.items()]))
+    return d.drop(*signs, "_points", "_octets", "_utf16")
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, source, measure, size)."""
-    return docs.select("doc_id", "source", F.explode(_sizes()).alias("m")).select("doc_id", "source", "m.measure", "m.size")
+    d = lengths(_with_core(docs.select("doc_id", "source", "text")))
+    return d.select("doc_id", "source", F.explode("sizes").alias("m")).select("doc_id", "source", "m.measure", "m.size")
 
 
 def hidden_limits(measured: DataFrame) -> DataFrame:
@@ -85,29 +87,34 @@ def hidden_limits(measured: DataFrame) -> DataFrame:
 
 def _keys(line: Column) -> Column:
     """What a line is counted by: itself without its numbers, its opening words before a name, its last word."""
-    shape = F.regexp_replace(line, "\\p{Nd}+", "0")
-    opening = F.regexp_extract(line, "^(\\S+(?: \\p{Ll}\\S*){0,2}:?) ?\\p{Lu}[\\p{L} .]*$", 1)
-    word = F.regexp_extract(line, "(\\S+)$", 1)
-    word = F.when(word.rlike("[\\u3040-\\u30ff\\u4e00-\\u9fff\\u0e00-\\u0e7f]"), F.right(word, F.lit(2))).otherwise(word)
+    short = F.length(line) < CLOSING_CHARS
+    shape = F.when(short, F.regexp_replace(line, "\\p{Nd}+", "0"))
+    opening = F.when(short, F.regexp_extract(line, _OPENING, 1))
+    word = F.substring_index(line, " ", -1)
+    word = F.when(F.right(word, F.lit(1)).rlike("[\\u3040-\\u30ff\\u4e00-\\u9fff\\u0e00-\\u0e7f]"), F.right(word, F.lit(2))).otherwise(word)
     key = lambda kind, v: F.xxhash64(F.lit(kind), v)
     return F.array(key("line", shape), key("opening", opening), key("word", word))
 
 
+def _lines(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, _SPACE_END, "")), lambda x: x != "")
+
+
 def _inspected(docs: DataFrame) -> DataFrame:
-    """Per document whose ending isn't plainly whole: what the ending shows, and its last line."""
-    tail = F.regexp_replace(F.right("text", F.lit(TAIL)), _SPACE_END, "")
-    d = docs.where(F.length(F.trim("text")) > 0).select("doc_id", "source", tail.alias("tail"), _sizes().alias("sizes"))
+    """Per document whose ending isn't plainly whole: what the ending shows, its last line and the one before."""
+    d = docs.withColumn("tail", F.regexp_replace(F.right("text", F.lit(TAIL)), _SPACE_END, "")).where("tail <> ''")
+    end = F.right("tail", F.lit(40))
     d = d.withColumns(
         {
-            "line": F.regexp_extract("tail", "([^\\n]*)$", 1),
-            "before": F.regexp_extract("tail", "([^\\n]*?)[\\s]*\\n[^\\n]*$", 1),
-            "dots": F.col("tail").rlike(_DOTS),
-            "broken": F.col("tail").rlike(_BROKEN),
-            "ended": F.col("tail").rlike(_ENDED),
-            "short": F.regexp_extract("tail", f"(?:^|[\\s(«“\"])((?:(?:{_OPENING_ABBREVIATIONS})\\.|\\p{{Nd}}{{1,3}}[.,]))$", 1),
+            "dots": end.rlike(_DOTS),
+            "broken": end.rlike(_BROKEN),
+            "ended": end.rlike(_ENDED),
+            "short": F.regexp_extract(end, f"(?:^|[\\s(«“\"])((?:(?:{_OPENING_ABBREVIATIONS})\\.|\\p{{Nd}}{{1,3}}[.,]))$", 1),
         }
     )
-    return d.where("broken or dots or not ended or short <> ''")
+    d = d.where("broken or dots or not ended or short <> ''").withColumn("lines", _lines(F.col("tail")))
+    d = d.withColumns({"line": F.coalesce(F.try_element_at("lines", F.lit(-1)), F.lit("")), "before": F.coalesce(F.try_element_at("lines", F.lit(-2)), F.lit(""))})
+    return d.drop("text", "lines")
 
 
 def truncated(docs: DataFrame) -> DataFrame:
@@ -125,22 +132,21 @@ def truncated(docs: DataFrame) -> DataFrame:
     limits = limits.select("source", "measure", "size").unionAll(limits.where("measure in ('chars', 'bytes')").select(F.lit(None).cast("string"), "measure", "size"))
     suspects = cut(_inspected(docs))
     same = [F.col("m.source").eqNullSafe(F.col("l.source")), F.col("m.measure") == F.col("l.measure"), F.col("m.size") == F.col("l.size")]
-    hit = suspects.select("doc_id", "source", F.explode("sizes").alias("m")).select("doc_id", "source", "m.measure", "m.size")
+    hit = measured(docs.join(suspects.select("doc_id"), "doc_id", "left_semi"))
     hit = hit.alias("m").join(limits.alias("l"), same[0] & same[1] & same[2], "left_semi")
     hit = hit.select("doc_id").distinct().withColumn("at_limit", F.lit(True))
     # every line of every document, by its keys: how often last, how often not
-    lines = docs.select(F.split(F.rtrim(F.regexp_replace("text", "\\s*\\n\\s*$", "")), "[ \\t]*\\n\\s*").alias("lines"))
-    lines = lines.select(F.size("lines").alias("n"), F.posexplode("lines").alias("i", "line"))
-    lines = lines.select(F.explode(_keys(F.right("line", F.lit(120)))).alias("key"), (F.col("i") == F.col("n") - 1).cast("int").alias("last"))
+    lines = docs.select(_lines(F.col("text")).alias("lines")).select(F.size("lines").alias("n"), F.posexplode("lines").alias("i", "line"))
+    lines = lines.select(F.explode(_keys(F.col("line"))).alias("key"), (F.col("i") == F.col("n") - 1).cast("int").alias("last"))
     known = lines.groupBy("key").agg(F.sum("last").alias("lasts"), F.sum(1 - F.col("last")).alias("inner"))
-    asked = suspects.select("doc_id", F.posexplode(_keys(F.right("line", F.lit(120)))).alias("k", "key"))
+    asked = suspects.select("doc_id", F.posexplode(_keys(F.col("line"))).alias("k", "key"))
     told = asked.join(known, "key").groupBy("doc_id").agg(
         *[F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{name}_{c}") for k, name in enumerate(("line", "opening", "word")) for c in ("lasts", "inner")]
     )
     d = suspects.join(told, "doc_id", "left").join(hit, "doc_id", "left").withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
     usual = lambda name: (F.col(f"{name}_lasts") >= LEAST_CLOSING) & (F.col(f"{name}_lasts") >= CLOSING_SHARE * (F.col(f"{name}_lasts") + F.col(f"{name}_inner")))
-    has_opening = F.regexp_extract("line", "^(\\S+(?: \\p{Ll}\\S*){0,2}:?) ?\\p{Lu}[\\p{L} .]*$", 1) != ""
-    closing = (F.length("line") < 60) & ((F.col("before") != "") & (usual("line") | (has_opening & usual("opening"))) | F.col("line").rlike("^[(（].*[)）]$|^[\\p{P}\\p{S}\\s]+$"))
+    has_opening = F.regexp_extract("line", _OPENING, 1) != ""
+    closing = (F.length("line") < CLOSING_CHARS) & ((F.col("before") != "") & (usual("line") | (has_opening & usual("opening"))) | F.col("line").rlike("^[(（].*[)）]$|^[\\p{P}\\p{S}\\s]+$"))
     listed = F.col("line").rlike("^[^:：]*\\p{Nd}+[^:：]{0,3}[:：] ?\\S")
     was_listed = F.col("before").rlike("^[^:：]*\\p{Nd}+[^:：]{0,3}[:：] ?\\S")
     unmarked_before = (F.col("before") != "") & ~F.col("before").rlike(_ENDED)
