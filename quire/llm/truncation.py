@@ -34,7 +34,7 @@ _OPENING_ABBREVIATIONS = (
     "ThS|PGS|GS|TS|BS|TP|Cty|tr|sđd|Mr|Mrs|Ms|Dr|Prof|Capt|Cpt|Lt|Sgt|St|No|no|Vol|vol|ch|cf|vs|Hr|Fr|Nr|ca|bzw|Sr|Sra|Dra|Mlle|Mme|art|env|aprox"
     "|Проф|проф|стр|г|д|डॉ|पं|أ|د"
 )
-_SPACE_END = "[\\s\\u00a0\\u2000-\\u200a\\u202f\\u3000]+$"
+_BLANKS = " \t\r\u00a0\u2002\u2003\u2007\u2009\u202f\u3000"
 
 
 def _with_core(docs: DataFrame) -> DataFrame:
@@ -97,24 +97,28 @@ def _keys(line: Column) -> Column:
 
 
 def _lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, _SPACE_END, "")), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.rtrim(x, F.lit(_BLANKS))), lambda x: x != "")
 
 
 def _inspected(docs: DataFrame) -> DataFrame:
-    """Per document whose ending isn't plainly whole: what the ending shows, its last line and the one before."""
-    d = docs.withColumn("tail", F.regexp_replace(F.right("text", F.lit(TAIL)), _SPACE_END, "")).where("tail <> ''")
-    end = F.right("tail", F.lit(40))
+    """Per document whose ending isn't plainly whole: what the ending shows, its last lines, and its sizes.
+
+    A text with remains of a broken transfer has two rows, which differ in their sizes only. The explodes keep the
+    optimizer from computing an ending anew in every condition on it.
+    """
+    tail = F.rtrim(F.right("text", F.lit(TAIL)), F.lit(_BLANKS + "\n"))
+    d = docs.withColumn("tail", F.explode(F.array(tail))).withColumn("end", F.explode(F.array(F.right("tail", F.lit(40))))).where("tail <> ''")
     d = d.withColumns(
         {
-            "dots": end.rlike(_DOTS),
-            "broken": end.rlike(_BROKEN),
-            "ended": end.rlike(_ENDED),
-            "short": F.regexp_extract(end, f"(?:^|[\\s(«“\"])((?:(?:{_OPENING_ABBREVIATIONS})\\.|\\p{{Nd}}{{1,3}}[.,]))$", 1),
+            "dots": F.col("end").rlike(_DOTS),
+            "broken": F.col("end").rlike(_BROKEN),
+            "ended": F.col("end").rlike(_ENDED),
+            "short": F.regexp_extract("end", f"(?:^|[\\s(«“\"])((?:(?:{_OPENING_ABBREVIATIONS})\\.|\\p{{Nd}}{{1,3}}[.,]))$", 1),
         }
     )
     d = d.where("broken or dots or not ended or short <> ''").withColumn("lines", _lines(F.col("tail")))
     d = d.withColumns({"line": F.coalesce(F.try_element_at("lines", F.lit(-1)), F.lit("")), "before": F.coalesce(F.try_element_at("lines", F.lit(-2)), F.lit(""))})
-    return d.drop("text", "lines")
+    return lengths(_with_core(d.drop("lines", "end"))).drop("text")
 
 
 def truncated(docs: DataFrame) -> DataFrame:
@@ -132,9 +136,10 @@ def truncated(docs: DataFrame) -> DataFrame:
     limits = limits.select("source", "measure", "size").unionAll(limits.where("measure in ('chars', 'bytes')").select(F.lit(None).cast("string"), "measure", "size"))
     suspects = cut(_inspected(docs))
     same = [F.col("m.source").eqNullSafe(F.col("l.source")), F.col("m.measure") == F.col("l.measure"), F.col("m.size") == F.col("l.size")]
-    hit = measured(docs.join(suspects.select("doc_id"), "doc_id", "left_semi"))
+    hit = suspects.select("doc_id", "source", F.explode("sizes").alias("m")).select("doc_id", "source", "m.measure", "m.size")
     hit = hit.alias("m").join(limits.alias("l"), same[0] & same[1] & same[2], "left_semi")
     hit = hit.select("doc_id").distinct().withColumn("at_limit", F.lit(True))
+    suspects = suspects.drop("sizes").dropDuplicates(["doc_id"])
     # every line of every document, by its keys: how often last, how often not
     lines = docs.select(_lines(F.col("text")).alias("lines")).select(F.size("lines").alias("n"), F.posexplode("lines").alias("i", "line"))
     lines = lines.select(F.explode(_keys(F.col("line"))).alias("key"), (F.col("i") == F.col("n") - 1).cast("int").alias("last"))
