@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_NAMES = ["component_queries", "splitting_queries", "truncation_queries", "packing_queries", "mixing_queries", "lookalike_queries", "sentence_queries"]
+_NAMES = ["component_queries", "splitting_queries", "truncation_queries", "packing_queries", "mixing_queries", "lookalike_queries", "sentence_queries", "name_queries"]
 _MODULES = [importlib.import_module(f"quire.llm.{name}") for name in _NAMES]
 
 
