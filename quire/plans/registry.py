@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.plans import history_queries
+from quire.plans import catalog_queries, history_queries
 
-_MODULES = [history_queries]
+_MODULES = [history_queries, catalog_queries]
 FLAGSHIP = history_queries.p6_history
 
 
