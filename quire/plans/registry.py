@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quire.plans import catalog_queries, history_queries
+from quire.plans import catalog_queries, history_queries, text_queries
 
-_MODULES = [history_queries, catalog_queries]
-FLAGSHIP = history_queries.p6_history
+_MODULES = [history_queries, catalog_queries, text_queries]
+FLAGSHIP = text_queries.boilerplate_phrases
 
 
 def queries() -> dict:
