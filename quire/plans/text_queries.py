@@ -112,7 +112,7 @@ def block_texts(spark, sf):
     return _chapters(spark, sf, "html").select("chapter_id", F.posexplode(got).alias("idx", "text"))
 
 
-@query(f"""with s as (select para_id, unnest(list_filter([trim(x) for x in regexp_extract_all(text, '{T.SENTENCE}', 0)], lambda x: x <> '')) as t from (select distinct para_id, text from paragraphs where text is not null))
+@query(f"""with s as (select para_id, unnest(list_filter([regexp_replace(x, '^{_SP}+|{_SP}+$', '', 'g') for x in regexp_extract_all(text, '{T.SENTENCE}', 0)], lambda x: x <> '')) as t from (select distinct para_id, text from paragraphs where text is not null))
 select para_id, count(*) as sentences, sum(length(t)) as chars from s group by 1""")
 def page_sentences(spark, sf):
     """Simple sentences per paragraph, by end marks only."""
