@@ -80,7 +80,7 @@ def connected_components(pairs: DataFrame, left: str, right: str) -> DataFrame:
     while count := edges.count():
         found = cut(_round(edges, count, seed))
         # Row and column representatives meet: a vertex takes the least of them, and at once that one's own.
-        best = cut(found.groupBy("vertex").agg(F.min(F.struct("rank", "rep")).alias("m")).select("vertex", F.col("m.rep").alias("to")))
+        best = found.groupBy("vertex").agg(F.min(F.struct("rank", "rep")).alias("m")).select("vertex", F.col("m.rep").alias("to"))
         onward = best.select(F.col("vertex").alias("to"), F.col("to").alias("far"))
         jump = cut(best.join(onward, "to", "left").select("vertex", F.coalesce("far", "to").alias("label")))
         # Where cells disagree, the new parents are linked in the next round.

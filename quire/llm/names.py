@@ -172,6 +172,23 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose q-gram sets are similar enough, in one of their variants."""
+    known: dict[str, list[frozenset[str]]] = {}
+
+    def sets(form: str) -> list[frozenset[str]]:
+        if form not in known:
+            if len(known) > 100_000:
+                known.clear()
+            known[form] = [frozenset(g) for g in variants(form)]
+        return known[form]
+
+    for batch in batches:
+        pairs = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)
+        kept = [any(len(x & y) >= SHARED * len(x | y) for x in sets(a) for y in sets(b)) for a, b in pairs]
+        yield batch.filter(pa.array(kept, pa.bool_()))
+
+
 def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         forms = b.column("form").to_pylist()
@@ -276,7 +293,7 @@ def _covered(own: list[str], other: list[str], usual: dict[str, int]) -> bool:
     return True
 
 
-def _verified(usual_of: DataFrame | None, total: int):
+def _verified(total: int):
     """Rows (book_id, a, b, link) for candidates; the counts of their tokens come with them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,14 +321,11 @@ def candidates(forms: DataFrame) -> DataFrame:
     rarity = d.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("df", "gram"))
     prefix = rows.join(rarity, "gram").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * SHARED) + 1)
-    prefix = cut(prefix.select("gram", "n", *keys))
-    side = lambda df, x: df.select(*["gram"] * ("gram" in df.columns), "book_id", *[F.col(c).alias(c + x) for c in ("form", "variant", "n", "grams") if c in df.columns])
-    near = (F.col("n1") >= SHARED * F.col("n2")) & (F.col("n2") >= SHARED * F.col("n1"))
-    pairs = side(prefix, "1").join(side(prefix, "2"), ["book_id", "gram"]).where((F.col("form1") < F.col("form2")) & near)
-    pairs = pairs.select("book_id", "form1", "variant1", "form2", "variant2").distinct()
-    full = pairs.join(side(d, "1"), ["book_id", "form1", "variant1"]).join(side(d, "2"), ["book_id", "form2", "variant2"])
-    shared = F.size(F.array_intersect("grams1", "grams2"))
-    alike = full.where(shared >= SHARED * (F.size("grams1") + F.size("grams2") - shared)).select("book_id", F.col("form1").alias("a"), F.col("form2").alias("b"))
+    prefix = cut(prefix.select("book_id", "gram", "form", "n"))
+    side = lambda x: prefix.select("book_id", "gram", F.col("form").alias(x), F.col("n").alias("n" + x))
+    near = (F.col("na") >= SHARED * F.col("nb")) & (F.col("nb") >= SHARED * F.col("na"))
+    pairs = side("a").join(side("b"), ["book_id", "gram"]).where((F.col("a") < F.col("b")) & near).select("book_id", "a", "b").distinct()
+    alike = pairs.mapInArrow(_alike, "book_id string, a string, b string")
     short = forms.select("book_id", "form", "weak").distinct().mapInArrow(_short, "book_id string, form string, weak boolean, keys array<string>")
     short = short.select("book_id", "form", "weak", F.explode("keys").alias("key"))
     whole = short.where("not weak").select("book_id", "key", F.col("form").alias("f"))
@@ -331,11 +345,11 @@ def same_entities(records: DataFrame) -> DataFrame:
     distinct_forms = forms.groupBy("book_id", "form").agg(F.max("weak").alias("weak"))
     tokens = distinct_forms.select("book_id", F.explode(F.split("form", " ")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     total = distinct_forms.count()
-    pairs = candidates(distinct_forms)
+    pairs = cut(candidates(distinct_forms))
     asked = pairs.select("book_id", "a", "b", F.explode(F.array_distinct(F.concat(F.split("a", " "), F.split("b", " ")))).alias("token"))
     told = asked.join(tokens, "token").groupBy("book_id", "a", "b").agg(F.collect_list(F.struct("token", "df")).alias("t"))
     told = told.select("book_id", "a", "b", F.col("t.token").alias("tokens"), F.col("t.df").alias("counts"))
-    links = cut(told.mapInArrow(_verified(None, total), "book_id string, a string, b string, link string").where("link <> ''"))
+    links = cut(told.mapInArrow(_verified(total), "book_id string, a string, b string, link string").where("link <> ''"))
 
     node = lambda c: F.md5(F.concat_ws("\x01", "book_id", c))
     owners = forms.select("record", "weak", node("form").alias("form"))
@@ -351,12 +365,19 @@ def same_entities(records: DataFrame) -> DataFrame:
     fits = part.join(groups, "form", "left").withColumn("to", F.coalesce("group_id", "form"))
     mine = groups.select(F.col("form").alias("part"), F.col("group_id").alias("own"))
     fits = fits.join(mine, "part", "left").where("own is null or own <> to")
+    fits = fits.withColumn("part", F.coalesce("own", "part"))
     single = fits.groupBy("part").agg(F.min("to").alias("v"), F.max("to").alias("w")).where("v = w").select(F.col("part").alias("u"), "v")
-    weak_own = owners.where("weak").select(F.col("record").alias("u"), F.col("form").alias("v"))
-    joined = groups.select(F.col("form").alias("u"), F.col("group_id").alias("v"))
-    every = connected_components(joined.unionByName(single).unionByName(weak_own), "u", "v")
+    of = lambda c: groups.select(F.col("form").alias(c), F.col("group_id").alias(f"_{c}"))
+    weak_own = owners.where("weak").join(of("record"), "record", "left").join(of("form"), "form", "left")
+    weak_own = weak_own.select(F.coalesce("_record", "record").alias("u"), F.coalesce("_form", "form").alias("v"))
+    # only groups that are joined by something, and records known by such a part alone, take part in the second round
+    late = connected_components(single.unionByName(weak_own), "u", "v").select(F.col("id").alias("group_id"), F.col("group_id").alias("late"))
+    late = cut(late)
+    early = groups.withColumnRenamed("form", "record").join(late, "group_id", "left").select("record", F.coalesce("late", "group_id").alias("group_id"))
+    alone = late.select(F.col("group_id").alias("record"), F.col("late").alias("group_id")).join(groups.select(F.col("form").alias("record")), "record", "left_anti")
+    every = early.unionByName(alone)
     books = d.select("record", "book_id").distinct()
-    return books.join(every.withColumnRenamed("id", "record"), "record").select("book_id", "record", "group_id")
+    return books.join(every, "record").select("book_id", "record", "group_id")
 
 
 def entity_pairs(groups: DataFrame) -> DataFrame:
