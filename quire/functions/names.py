@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.text import SPACE, collapse
+from quire.functions.text import SPACE, collapse, trimmed
 
 # Honorific suffixes in the order in which they are tried.
 HONORIFICS = (
