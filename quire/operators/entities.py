@@ -127,7 +127,7 @@ def rewire_edges(edges: DataFrame, moves: DataFrame) -> DataFrame:
     m = moves.where("absorbed_id is not null and survivor_id is not null and absorbed_id <> survivor_id").groupBy("absorbed_id").agg(F.min("survivor_id").alias("_to"))
     side = lambda c: m.select(F.col("absorbed_id").alias(c), F.col("_to").alias(f"_{c}"))
     d = edges.join(side("from_id"), "from_id", "left").join(side("to_id"), "to_id", "left")
-    d = d.withColumns({"from_id": F.coalesce("_from_id", "from_id"), "to_id": F.coalesce("_to_id", "to_id")}).drop("_from_id", "_to_id")
+    d = d.withColumns({"from_id": F.coalesce("_from_id", "from_id"), "to_id": F.coalesce("_to_id", "to_id")}).select(*edges.columns)
     return d.where("from_id <> to_id").dropDuplicates(["from_id", "to_id", "relationship"])
 
 

@@ -89,15 +89,15 @@ class HistoryStore:
 
     def _manifest(self) -> dict[str, str]:
         jvm, conf, path = self._hadoop()
-        p = path(f"{self.path}/_manifest.json")
+        p = path(f"{self.path}/manifest.json")
         fs = p.getFileSystem(conf)
         if not fs.exists(p):
             return {}
-        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.path}/_manifest.json").collect()))
+        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.path}/manifest.json").collect()))
 
     def _publish(self, manifest: dict[str, str]) -> None:
         jvm, conf, path = self._hadoop()
-        new, now = path(f"{self.path}/_manifest.{uuid.uuid4().hex}.tmp"), path(f"{self.path}/_manifest.json")
+        new, now = path(f"{self.path}/manifest.{uuid.uuid4().hex}.tmp"), path(f"{self.path}/manifest.json")
         fs = new.getFileSystem(conf)
         out = fs.create(new, True)
         out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
