@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: So many numbers of pieces are tried before pieces of full length are taken.
+ATTEMPTS = 30
 #: Strength of a boundary.
 BLOCK, SENTENCE, WORD, NONE = 3, 2, 1, 0
 NAMES = {BLOCK: "block", SENTENCE: "sentence", WORD: "word", NONE: "inside"}
@@ -83,16 +85,19 @@ def _try(text: str, levels: list[tuple[int, list[int]]], most: int, overlap: int
     pieces, start, end = [], 0, 0
     for i in range(1, n):
         target = round(overlap + i * step)
-        low, high = max(end + 1, target - slack), min(target + slack, start + most, size - 1)
+        low, high = max(end + 1, start + 1, target - slack), min(target + slack, start + most, size - 1)
         if low > high:
+            if size - start <= most:
+                break  # nothing is left to part
             return None
+        target = max(low, min(target, high))
         cut, strength = None, NONE
         for strength, places in levels:
-            cut = _nearest(places, min(target, high), low, high)
+            cut = _nearest(places, target, low, high)
             if cut is not None:
                 break
         if cut is None:
-            cut, strength = _whole(text, min(target, high), low - 1), NONE
+            cut, strength = _whole(text, target, low - 1), NONE
         pieces.append((start, cut, strength))
         end = cut
         back = max(start + 1, cut - overlap)
@@ -126,11 +131,14 @@ def split_text(blocks: list[str], most: int, overlap: int) -> tuple[str, list[tu
         return text, [(0, len(text), BLOCK)]
     levels = [(BLOCK, ends), (SENTENCE, sentences), (WORD, words)]
     n = max(2, math.ceil((len(text) - overlap) / (most - overlap)))
-    while True:
+    for _ in range(ATTEMPTS):
         found = _try(text, levels, most, overlap, n)
         if found:
             return text, found
-        n += 1
+        n += max(1, n // 20)
+    # a limit so small that no balanced cut holds: full pieces, one after the other
+    starts = range(0, len(text) - overlap, most - overlap)
+    return text, [(a, min(a + most, len(text)), BLOCK if a + most >= len(text) else NONE) for a in starts]
 
 
 _SCHEMA = pa.schema(

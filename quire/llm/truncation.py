@@ -77,9 +77,13 @@ def measured(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", "source", F.explode("sizes").alias("m")).select("doc_id", "source", "m.measure", "m.size")
 
 
-def hidden_limits(measured: DataFrame) -> DataFrame:
-    """Lengths that one source has far more often than the lengths near them: (source, measure, size, texts)."""
-    d = measured.groupBy("source", "measure", "size").agg(F.count(F.lit(1)).alias("texts"))
+def hidden_limits(docs: DataFrame) -> DataFrame:
+    """Lengths that one source has far more often than the lengths near them: (source, measure, size, texts).
+
+    Copies of a text within a source count once, so a text that was copied many times makes no limit.
+    """
+    d = lengths(_with_core(docs.select("source", "text"))).groupBy("source", F.xxhash64("text").alias("_h")).agg(F.first("sizes").alias("sizes"))
+    d = d.select("source", F.explode("sizes").alias("m")).groupBy("source", "m.measure", "m.size").agg(F.count(F.lit(1)).alias("texts"))
     near = Window.partitionBy("source", "measure").orderBy("size").rangeBetween(-NEAR, NEAR)
     d = d.withColumn("others", (F.sum("texts").over(near) - F.col("texts")) / (2 * NEAR))
     return d.where((F.col("texts") >= LEAST_AT_LIMIT) & (F.col("texts") >= LIMIT_RATIO * F.greatest("others", F.lit(0.5)))).drop("others")
@@ -131,7 +135,7 @@ def truncated(docs: DataFrame) -> DataFrame:
     with one doc_id count as one. A null source is a source of its own.
     """
     docs = docs.select("doc_id", "source", "text").where(F.col("text").isNotNull())
-    limits = hidden_limits(measured(docs))
+    limits = hidden_limits(docs)
     # a text whose source is unknown may be of any of them
     limits = limits.select("source", "measure", "size").unionAll(limits.where("measure in ('chars', 'bytes')").select(F.lit(None).cast("string"), "measure", "size"))
     suspects = cut(_inspected(docs))

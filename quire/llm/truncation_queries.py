@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm.truncation import hidden_limits, measured, truncated, truncation_by_source
+from quire.llm.truncation import hidden_limits, truncated, truncation_by_source
 from quire.session import read_table
 
 
@@ -17,7 +17,7 @@ def p9_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hidden_limits(measured(read_table(spark, sf_dir, "documents")))
+    return hidden_limits(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"p9_found": p9_found, "p9_sources": p9_sources, "p9_limits": p9_limits}
