@@ -72,8 +72,9 @@ def genre_scores(docs: DataFrame, text: str, key: str, keywords: Mapping[str, Ma
             if words:
                 total = total + F.regexp_count(t, F.lit("|".join(f"\\Q{w}\\E" for w in words))) * weights[kind]
         scores.append(F.struct(F.when(F.length(t) < 30, total * 0.6).otherwise(total).alias("score"), F.lit(genre).alias("genre")))
-    ranked = F.sort_array(F.array(*scores), asc=False)
-    d = docs.select(key, ranked.alias("r"), F.aggregate(ranked, F.lit(0.0), lambda a, x: a + x["score"]).alias("all"))
+    # the explode keeps the optimizer from computing the scores anew in each column made of them
+    d = docs.select(key, F.explode(F.array(F.sort_array(F.array(*scores), asc=False))).alias("r"))
+    d = d.withColumn("all", F.aggregate("r", F.lit(0.0), lambda a, x: a + x["score"]))
     first, second = F.col("r")[0], (F.col("r")[1]["score"] if len(scores) > 1 else F.lit(0.0))
     sure = first["score"] >= 1
     share = F.when(F.col("all") > 0, first["score"] / F.col("all")).otherwise(0.0)
