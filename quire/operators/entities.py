@@ -159,3 +159,20 @@ def accept_all(queue: DataFrame, group: str, target: str, field: str, order: Seq
     ok = F.col("value").isNotNull()
     w = Window.partitionBy(group, target, field).orderBy(*[F.desc(c) for c in order])
     return queue.withColumn("_r", F.when(ok, F.sum(ok.cast("int")).over(w))).withColumn("outcome", F.when(~ok, "skipped").when(F.col("_r") == 1, "applied").otherwise("superseded")).drop("_r")
+
+
+def ensure(names: DataFrame, roster: DataFrame, aliases: DataFrame, name: str = "name") -> DataFrame:
+    """(name, character_id, created): every name with its entity, new ones made for names that no rule resolves.
+
+    New ids are digests of the key, so names that differ in case or spaces only share one and a repeated run makes the
+    same ids; within one batch the outcome doesn't depend on the order of the names. Null and blank names give no row.
+    """
+    d = resolve(names.select(name).where(F.trim(name) != "").distinct(), roster, aliases, name)
+    made = F.concat(F.lit("new-"), F.md5(N.key(F.col(name))))
+    return d.select(name, F.coalesce("character_id", made).alias("character_id"), F.col("character_id").isNull().alias("created"))
+
+
+def assign_voices(characters: DataFrame, book: str, key: str, voices: int) -> DataFrame:
+    """A pool voice from 0 for every character: the most important first, each voice used once before any is used again."""
+    w = Window.partitionBy(book).orderBy(F.desc("importance"), key)
+    return characters.withColumn("voice", (F.row_number().over(w) - 1) % voices)

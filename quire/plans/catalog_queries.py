@@ -210,9 +210,8 @@ select count(*) as jobs, count(*) filter (event_type = 'error') as errors, count
 def worker_status(spark, sf):
     """Counts over the newest 500 jobs only."""
     d = read_table(spark, sf, "events").orderBy(F.desc("ts"), "event_id").limit(500)
-    return R.status_counts(d.withColumn("g", F.lit(1)), ["g"], "event_type", {"errors": ["error"], "purchases": ["purchase"]}).drop("g").withColumnRenamed("total", "jobs").join(
-        d.agg(F.max("ts").alias("last_seen"))
-    )
+    counts = {"errors": F.count_if(F.col("event_type") == "error"), "purchases": F.count_if(F.col("event_type") == "purchase")}
+    return d.agg(F.count(F.lit(1)).alias("jobs"), *[c.alias(k) for k, c in counts.items()], F.max("ts").alias("last_seen"))
 
 
 @query("""with b as (select distinct * from books), m as (select date_trunc('day', max(last_read)) as day from b)
@@ -220,8 +219,8 @@ select count(*) as books, count(*) filter (last_read >= (select day from m)) as
 def dashboard(spark, sf):
     """Counts since the midnight of the newest reading; the day is a parameter that is read from the data."""
     b = read_table(spark, sf, "books").distinct()
-    b = b.withColumn("day", F.date_trunc("day", F.max("last_read").over(Window.partitionBy())))
-    return b.agg(F.count(F.lit(1)).alias("books"), F.count_if(F.col("last_read") >= F.col("day")).alias("opened_today"), F.count_if(F.col("author").isNull()).alias("no_author"))
+    day = b.agg(F.date_trunc("day", F.max("last_read"))).scalar()
+    return b.agg(F.count(F.lit(1)).alias("books"), F.count_if(F.col("last_read") >= day).alias("opened_today"), F.count_if(F.col("author").isNull()).alias("no_author"))
 
 
 @query("""with e as (select * from events where event_type = 'nosuch'), r as (select event_id, ts from e order by ts desc, event_id limit 5),
@@ -232,17 +231,16 @@ def recent_or_fallback(spark, sf):
     d = read_table(spark, sf, "events")
     newest = lambda kind: d.where(F.col("event_type") == kind).select("event_id", "ts").orderBy(F.desc("ts"), "event_id").limit(5)
     first, second = newest("nosuch"), newest("error")
-    none = first.agg((F.count(F.lit(1)) == 0).alias("none")).where("none")
-    return first.unionByName(second.join(F.broadcast(none)).drop("none"))  # one row
+    return first.unionByName(second.where(first.agg(F.count(F.lit(1))).scalar() == 0))
 
 
 @query("""with m as (select max(ts) as now from events) select event_id, event_type, ts from events where not (event_type = 'purchase' and ts < (select now from m) - interval 30 minute)""")
 def job_retention(spark, sf):
     """Drops finished jobs older than 30 minutes before the newest entry."""
     d = read_table(spark, sf, "events")
-    now = d.agg(F.max("ts").alias("now"))
-    old = (F.col("event_type") == "purchase") & (F.col("ts") < F.col("now") - F.expr("interval 30 minutes"))
-    return d.join(F.broadcast(now)).where(~old).select("event_id", "event_type", "ts")  # one row
+    now = d.agg(F.max("ts")).scalar()
+    old = (F.col("event_type") == "purchase") & (F.col("ts") < now - F.expr("interval 30 minutes"))
+    return d.where(~old).select("event_id", "event_type", "ts")
 
 
 @query("""with m as (select max(ts) as now from events), l as (select user_id, max(ts) as last_ts, arg_max(event_type, (ts, event_id)) as last_type from events group by 1)
@@ -251,9 +249,9 @@ def stale_sweep(spark, sf):
     """A job without news for 15 minutes has failed."""
     d = read_table(spark, sf, "events")
     last = d.groupBy("user_id").agg(F.max("ts").alias("last_ts"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"))
-    now = d.agg(F.max("ts").alias("now"))
-    stale = F.col("last_ts") < F.col("now") - F.expr("interval 15 minutes")
-    return last.join(F.broadcast(now)).select("user_id", "last_ts", F.when(stale, "failed").otherwise(F.col("last_type")).alias("status"))  # one row
+    now = d.agg(F.max("ts")).scalar()
+    stale = F.col("last_ts") < now - F.expr("interval 15 minutes")
+    return last.select("user_id", "last_ts", F.when(stale, "failed").otherwise(F.col("last_type")).alias("status"))
 
 
 @query("""select user_id, event_type, min(ts) as first_ts, count(*) as copies from events group by 1, 2""")
