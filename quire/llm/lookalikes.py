@@ -7,6 +7,7 @@ are replaced, and the result counts only if it occurs in the vocabulary of token
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -40,6 +41,7 @@ _INVISIBLE = re.compile(
 _SPACES = re.compile("[\\u00a0\\u1680\\u2000-\\u200a\\u202f\\u205f\\u3000]")
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def script(letter: str) -> str:
     """LATIN, CYRILLIC or GREEK; '' for any other."""
     o = ord(letter)
