@@ -195,6 +195,45 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("book_id"), b.column("form"), b.column("weak"), pa.array([short_keys(f) for f in forms], pa.list_(pa.string()))], names=["book_id", "form", "weak", "keys"])
 
 
+def _initial(token: str) -> bool:
+    return token.endswith(".") or len(token) == 1
+
+
+def slip_keys(token: str) -> set[str]:
+    """What a token shares with every token that equals it but for one slip: itself and itself without one letter."""
+    return {token} | ({token[:i] + token[i + 1 :] for i in range(len(token))} if len(token) >= 3 else set())
+
+
+def _by_token(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(book_id, form, size, place, key, df token): the keys of each whole token; place -1 has those of the joined tokens."""
+    for b in batches:
+        out: list[list] = [[], [], [], [], [], []]
+        for book, form in zip(b.column("book_id").to_pylist(), b.column("form").to_pylist(), strict=True):
+            if _HAN.search(form):
+                continue
+            tokens = form.split()
+            plain = [fold(t) for t in tokens if not _initial(t)]
+            whole = list(enumerate(plain)) + ([(-1, "".join(plain))] if len(tokens) > 1 and len(plain) == len(tokens) else [])
+            for place, token in whole:
+                size = len(tokens) * 2 - (len(plain) < len(tokens))  # a form with initials may be of a name of as many tokens
+                for column, value in zip(out, (book, form, size, place, sorted(slip_keys(token)), token), strict=True):
+                    column.append(value)
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["book_id", "form", "size", "place", "keys", "token"])
+
+
+def _parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs in which ``part`` may be a part of ``whole``, or its tokens written without a space."""
+
+    def fits(part: str, whole: str) -> bool:
+        own, other = part.split(), whole.split()
+        return _covered(own, other, {}) or (len(own) == 1 and slip(own[0], "".join(other)))
+
+    for batch in batches:
+        pairs = zip(batch.column("part").to_pylist(), batch.column("whole").to_pylist(), strict=True)
+        yield batch.filter(pa.array([fits(a, b) for a, b in pairs], pa.bool_()))
+
+
 def slip(a: str, b: str) -> bool:
     """Whether one letter was left out, doubled, mistaken, or exchanged with its neighbour."""
     if a == b:
@@ -313,7 +352,8 @@ def candidates(forms: DataFrame) -> DataFrame:
 
     The q-gram sets of the one and the other have a Jaccard similarity of SHARED at least: two such sets share a gram
     among the rarest of each, so only these are joined and no such pair is missed. Names with initials are looked up
-    among the ways in which full names can be shortened.
+    among the ways in which full names can be shortened. What may be a part of a longer name, however long the rest of
+    that is, is looked up by its rarest whole token, with one slip, among the tokens of the others.
     """
     keys = ["book_id", "form", "variant"]
     d = cut(forms.select("book_id", "form").distinct().mapInArrow(_index, "book_id string, form string, variant int, grams array<string>"))
@@ -330,7 +370,16 @@ def candidates(forms: DataFrame) -> DataFrame:
     short = short.select("book_id", "form", "weak", F.explode("keys").alias("key"))
     whole = short.where("not weak").select("book_id", "key", F.col("form").alias("f"))
     met = short.where("weak").join(whole, ["book_id", "key"]).where("form <> f")
-    return alike.unionByName(met.select("book_id", F.least("form", "f").alias("a"), F.greatest("form", "f").alias("b"))).distinct()
+    by_token = forms.select("book_id", "form").distinct().mapInArrow(_by_token, "book_id string, form string, size int, place int, keys array<string>, token string")
+    by_token = cut(by_token)
+    borne = by_token.where("place >= 0").select("book_id", "form", "token").distinct().groupBy("book_id", "token").agg(F.count(F.lit(1)).alias("df"))
+    rarest = by_token.where("place >= 0").join(borne, ["book_id", "token"]).groupBy("book_id", F.col("form").alias("part")).agg(F.min(F.struct("df", "place", "size", "keys")).alias("m"))
+    parts = rarest.select("book_id", "part", F.col("m.size").alias("less"), F.explode("m.keys").alias("key"))
+    wholes = by_token.where("size > 2").select("book_id", F.col("form").alias("whole"), "size", F.explode("keys").alias("key"))
+    held = parts.join(wholes, ["book_id", "key"]).where("less < size").select("book_id", "part", "whole").distinct()
+    held = held.mapInArrow(_parts_of, "book_id string, part string, whole string")
+    pair = lambda d, x, y: d.select("book_id", F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    return alike.unionByName(pair(met, "form", "f")).unionByName(pair(held, "part", "whole")).distinct()
 
 
 def same_entities(records: DataFrame) -> DataFrame:

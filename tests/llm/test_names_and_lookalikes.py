@@ -62,6 +62,16 @@ def test_entities(spark):
     assert N.same_entities(d.limit(0)).count() == 0
 
 
+def test_parts_of_names_with_long_other_tokens(spark):
+    rows = [
+        ("b", "1", "Holsarthal Jortel"), ("b", "2", "Captain Jortel"), ("b", "3", "Garulcal Melul"), ("b", "4", "Dr. Melul"), ("b", "5", "Lady Mellul"), ("b", "6", "Dr. Sel"),
+        ("b", "7", "Anders Bram Corvin Dunst Elgar Fenrosthal"), ("b", "8", "A. B. C. D. E. Fenrosthal"), ("b", "9", "An Bao Le"), ("b", "10", "AnBaoLe"), ("c", "11", "Captain Jortel"),
+    ]
+    d = spark.createDataFrame([(*r, None) for r in rows], "book_id string, record string, name string, aliases array<string>")
+    got = {tuple(r) for r in N.entity_pairs(N.same_entities(d)).collect()}
+    assert got == {("1", "2"), ("3", "4"), ("3", "5"), ("4", "5"), ("7", "8"), ("10", "9")}
+
+
 def test_normal_and_repairs():
     assert L.normal("Ｄ‌elｖ­el x\ny") == "Delvel x\ny"
     assert L.normal("é") == "é" and L.normal("⼈林") == "人林"
