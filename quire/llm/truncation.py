@@ -144,9 +144,10 @@ def truncated(docs: DataFrame) -> DataFrame:
     hit = hit.alias("m").join(limits.alias("l"), same[0] & same[1] & same[2], "left_semi")
     hit = hit.select("doc_id").distinct().withColumn("at_limit", F.lit(True))
     suspects = suspects.drop("sizes").dropDuplicates(["doc_id"])
-    # every line of every document, by its keys: how often last, how often not
-    lines = docs.select(_lines(F.col("text")).alias("lines")).select(F.size("lines").alias("n"), F.posexplode("lines").alias("i", "line"))
-    lines = lines.select(F.explode(_keys(F.col("line"))).alias("key"), (F.col("i") == F.col("n") - 1).cast("int").alias("last"))
+    # every line of every distinct text, by its keys: how often last, how often not; a text's copies count once
+    lines = docs.select(F.xxhash64("text").alias("_h"), F.transform(_lines(F.col("text")), _keys).alias("keys")).dropDuplicates(["_h"])
+    lines = lines.select(F.size("keys").alias("n"), F.posexplode("keys").alias("i", "line"))
+    lines = lines.select(F.explode("line").alias("key"), (F.col("i") == F.col("n") - 1).cast("int").alias("last"))
     known = lines.groupBy("key").agg(F.sum("last").alias("lasts"), F.sum(1 - F.col("last")).alias("inner"))
     asked = suspects.select("doc_id", F.posexplode(_keys(F.col("line"))).alias("k", "key"))
     told = asked.join(known, "key").groupBy("doc_id").agg(

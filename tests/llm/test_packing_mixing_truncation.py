@@ -149,6 +149,13 @@ def test_truncated(spark, docs):
     assert T.truncated(d.limit(0)).count() == 0
 
 
+def test_copies_make_no_closing_line(spark):
+    cut = "The clerk sold a map.\nNobody came in the"
+    rows = [(i, cut, "web") for i in range(6)] + [(10 + i, f"The clerk sold {i} maps.\nEND OF PART", "web") for i in range(6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.doc_id for r in T.truncated(d).collect()} == set(range(6))
+
+
 def test_measures(spark):
     d = spark.createDataFrame([(1, 'a&b<c>"é\n😀\\', "s")], "doc_id long, text string, source string")
     got = {r.measure: r["size"] for r in T.measured(d).collect()}
