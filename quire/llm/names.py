@@ -3,7 +3,8 @@
 Every name becomes a form; forms of one book that share enough q-grams are found by a prefix-filtered set-similarity
 join, rarest q-grams first, and verified by a soft token similarity in which rare tokens count more. Certain links are
 joined into groups; a form that is less than a full name (initials, a title with one name, a part of a name, another
-script or one without accents) joins a group only if it fits no other group of its book.
+script or one without accents) joins a group only if it fits no other group of its book. The same holds for aliases
+that are less than a full name, unless so many groups have the alias that it is generic.
 """
 
 from __future__ import annotations
@@ -108,19 +109,19 @@ def form_of(name: str | None, alias: bool = False) -> tuple[str, bool] | None:
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(book_id, record, form, weak): the name's form, and full forms of the aliases."""
+    """(book_id, record, form, weak, alias): the forms of the name and of the aliases; alias marks a weak one that isn't the name's."""
     for b in batches:
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         for book, record, name, aliases in zip(*(b.column(c).to_pylist() for c in ("book_id", "record", "name", "aliases")), strict=True):
             found = []
             own = form_of(name)
             if own:
                 found.append(own)
-            found += [f for f in (form_of(a, True) for a in aliases or []) if f and not f[1]]
+            found += [f for f in (form_of(a, True) for a in aliases or []) if f]
             for form, weak in dict.fromkeys(found):
-                for column, value in zip(out, (book, record, form, weak), strict=True):
+                for column, value in zip(out, (book, record, form, weak, weak and (form, weak) != own), strict=True):
                     column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.bool_())], names=["book_id", "record", "form", "weak"])
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.bool_()), pa.array(out[4], pa.bool_())], names=["book_id", "record", "form", "weak", "alias"])
 
 
 def latin_tokens(form: str) -> list[str]:
@@ -390,20 +391,29 @@ def same_entities(records: DataFrame) -> DataFrame:
     count once. Records spelled alike in one book are linked unless the spelling is a mere form of address.
     """
     d = records.where("book_id is not null and record is not null").select("book_id", "record", "name", "aliases").distinct()
-    forms = cut(d.mapInArrow(_forms, "book_id string, record string, form string, weak boolean").distinct())
-    distinct_forms = forms.groupBy("book_id", "form").agg(F.max("weak").alias("weak"))
+    forms = cut(d.mapInArrow(_forms, "book_id string, record string, form string, weak boolean, alias boolean").distinct())
+    every_form = forms.groupBy("book_id", "form").agg(F.max("weak").alias("weak"), F.min("alias").alias("alias"))
+    distinct_forms = every_form.where("not alias")  # weak aliases make no token usual
     tokens = distinct_forms.select("book_id", F.explode(F.split("form", " ")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     total = distinct_forms.count()
-    pairs = cut(candidates(distinct_forms))
+    pairs = cut(candidates(every_form))
     asked = pairs.select("book_id", "a", "b", F.explode(F.array_distinct(F.concat(F.split("a", " "), F.split("b", " ")))).alias("token"))
-    told = asked.join(tokens, "token").groupBy("book_id", "a", "b").agg(F.collect_list(F.struct("token", "df")).alias("t"))
+    told = asked.join(tokens, "token", "left").groupBy("book_id", "a", "b").agg(F.collect_list(F.struct("token", F.coalesce("df", F.lit(0)).alias("df"))).alias("t"))
     told = told.select("book_id", "a", "b", F.col("t.token").alias("tokens"), F.col("t.df").alias("counts"))
     links = cut(told.mapInArrow(_verified(total), "book_id string, a string, b string, link string").where("link <> ''"))
 
     node = lambda c: F.md5(F.concat_ws("\x01", "book_id", c))
-    owners = forms.select("record", "weak", node("form").alias("form"))
+    # an alias whose joined tokens are a full name is that name; other weak aliases are looked at in the second round
+    run_together = links.where("link = 'same' and (instr(a, ' ') > 0) <> (instr(b, ' ') > 0)")
+    run_together = run_together.select(node(F.when(F.instr("a", " ") > 0, F.col("b")).otherwise(F.col("a"))).alias("form"), F.lit(True).alias("full")).distinct()
+    named = every_form.select(node("form").alias("form"), "alias").join(run_together, "form", "left")
+    aside = cut(named.where("alias and full is null").select("form"))
+    owners = forms.select("record", "weak", "alias", node("form").alias("form"), F.col("form").alias("text")).join(run_together, "form", "left")
+    owners = cut(owners.withColumns({"weak": F.col("weak") & ~(F.col("alias") & F.coalesce("full", F.lit(False))), "alias": F.col("alias") & F.col("full").isNull()}))
     own = owners.where("not weak").select(F.col("record").alias("u"), F.col("form").alias("v"))
     sure = links.where("link = 'same'").select(node("a").alias("u"), node("b").alias("v"))
+    for end in ("u", "v"):
+        sure = sure.join(aside.withColumnRenamed("form", end), end, "left_anti")
     groups = connected_components(own.unionByName(sure), "u", "v")
     groups = cut(groups.select(F.col("id").alias("form"), "group_id"))
 
@@ -411,16 +421,19 @@ def same_entities(records: DataFrame) -> DataFrame:
     part = links.where("link in ('a', 'b')").select(
         node(F.when(F.col("link") == "a", F.col("a")).otherwise(F.col("b"))).alias("part"), node(F.when(F.col("link") == "a", F.col("b")).otherwise(F.col("a"))).alias("form")
     )
-    fits = part.join(groups, "form", "left").withColumn("to", F.coalesce("group_id", "form"))
+    part = part.join(aside, "form", "left_anti")
+    fits = cut(part.join(groups, "form", "left").withColumn("to", F.coalesce("group_id", "form")).drop("group_id"))
+    called = _called(owners.where("alias"), fits, groups)
+    fits = fits.join(aside.withColumnRenamed("form", "part"), "part", "left_anti")
     mine = groups.select(F.col("form").alias("part"), F.col("group_id").alias("own"))
     fits = fits.join(mine, "part", "left").where("own is null or own <> to")
     fits = fits.withColumn("part", F.coalesce("own", "part"))
     single = fits.groupBy("part").agg(F.min("to").alias("v"), F.max("to").alias("w")).where("v = w").select(F.col("part").alias("u"), "v")
     of = lambda c: groups.select(F.col("form").alias(c), F.col("group_id").alias(f"_{c}"))
-    weak_own = owners.where("weak").join(of("record"), "record", "left").join(of("form"), "form", "left")
+    weak_own = owners.where("weak and not alias").join(of("record"), "record", "left").join(of("form"), "form", "left")
     weak_own = weak_own.select(F.coalesce("_record", "record").alias("u"), F.coalesce("_form", "form").alias("v"))
     # only groups that are joined by something, and records known by such a part alone, take part in the second round
-    late = connected_components(single.unionByName(weak_own), "u", "v").select(F.col("id").alias("group_id"), F.col("group_id").alias("late"))
+    late = connected_components(single.unionByName(weak_own).unionByName(called), "u", "v").select(F.col("id").alias("group_id"), F.col("group_id").alias("late"))
     late = cut(late)
     early = groups.withColumnRenamed("form", "record").join(late, "group_id", "left").select("record", F.coalesce("late", "group_id").alias("group_id"))
     alone = late.select(F.col("group_id").alias("record"), F.col("late").alias("group_id")).join(groups.select(F.col("form").alias("record")), "record", "left_anti")
@@ -429,6 +442,25 @@ def same_entities(records: DataFrame) -> DataFrame:
     return books.join(every, "record").select("book_id", "record", "group_id")
 
 
+def _called(owners: DataFrame, fits: DataFrame, groups: DataFrame) -> DataFrame:
+    """Edges (u, v) between the group of a record with a weak alias and the one group that the alias fits.
+
+    ``owners`` has record, form and text of such aliases. One that several groups besides have fits none of them, nor
+    does one that USUAL groups of all books have; a group whose aliases fit several others joins none.
+    """
+    of = groups.select(F.col("form").alias("record"), "group_id")
+    owned = owners.select("record", "form", "text").join(of, "record", "left").select("form", "text", F.coalesce("group_id", "record").alias("o")).distinct()
+    generic = owned.groupBy("text").agg(F.count_distinct("o").alias("n")).where(F.col("n") >= USUAL).select("text")
+    # what an alias fits: groups of longer forms, else records that have it as their name
+    told = fits.select(F.col("part").alias("form"), "to").distinct().groupBy("form").agg(F.min("to").alias("l"), F.count(F.lit(1)).alias("fit"))
+    asked = owned.join(generic, "text", "left_anti").join(told, "form", "left").withColumn("l", F.coalesce("l", "form"))
+    asked = asked.where("coalesce(fit, 1) = 1 and o <> l")
+    alone = asked.groupBy("form").agg(F.min("o").alias("u"), F.max("o").alias("w"), F.min("l").alias("v"), F.max("fit").alias("fit")).where("u = w")
+    # what fits nothing can only meet a record of that name, so it doesn't count among the groups that are fitted
+    one = alone.groupBy("u").agg(F.min(F.when(F.col("fit") == 1, F.col("v"))).alias("x"), F.max(F.when(F.col("fit") == 1, F.col("v"))).alias("y"))
+    return alone.join(one.where("x is null or x = y").select("u"), "u").select("u", "v")
+
+
 def entity_pairs(groups: DataFrame) -> DataFrame:
     """All pairs of records of one group and book, the smaller id first: (first_id, second_id)."""
     a = groups.select("book_id", "group_id", F.col("record").alias("first_id"))

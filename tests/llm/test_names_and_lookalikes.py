@@ -72,6 +72,18 @@ def test_parts_of_names_with_long_other_tokens(spark):
     assert got == {("1", "2"), ("3", "4"), ("3", "5"), ("4", "5"), ("7", "8"), ("10", "9")}
 
 
+def test_one_word_aliases(spark):
+    rows = [
+        ("b", "1", "Lorren Dunbe", None), ("b", "2", "Dunbe Lorren", None), ("b", "3", "the Laughing Anvil", ["LorrenDunbe"]),
+        ("b", "4", "Kelsar Orveltam", None), ("b", "5", "the Grey Otter", ["Orveltam"]), ("b", "6", "Garhel Lanros", ["Stoneeye"]), ("b", "7", "Stoneeye", None),
+        ("b", "8", "Torjor Lortel", ["Auntie"]), ("b", "9", "Fenba Narbe", ["Auntie"]), ("b", "10", "Sargar Wendorda", ["Auntie"]), ("b", "11", "Auntie", None),
+        ("b", "12", "Bagri Deldunvan", None), ("b", "13", "Mormal Deldunvan", None), ("b", "14", "the Iron Kestrel", ["Deldunvan"]),
+    ]
+    d = spark.createDataFrame(rows, "book_id string, record string, name string, aliases array<string>")
+    got = {tuple(r) for r in N.entity_pairs(N.same_entities(d)).collect()}
+    assert got == {("1", "2"), ("1", "3"), ("2", "3"), ("4", "5"), ("6", "7")}
+
+
 def test_normal_and_repairs():
     assert L.normal("Ｄ‌elｖ­el x\ny") == "Delvel x\ny"
     assert L.normal("é") == "é" and L.normal("⼈林") == "人林"
