@@ -75,3 +75,12 @@ def test_marks_and_rewrite(spark, rows, tmp_path):
     sinks.rewrite(spark.read.parquet(path).where("id > 0"), path)
     assert rows(spark.read.parquet(path)) == [(1,), (2,)]
     assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_sidecar_texts_are_whole(spark, tmp_path):
+    from quire.plans import registry
+
+    spark.createDataFrame([("c", "x" * 2500), ("d", "own")], "chapter_id string, html string").write.parquet(str(tmp_path / "chapters.parquet"))
+    spark.createDataFrame([("d", "y" * 2100), (None, "z")], "chapter_id string, text string").write.parquet(str(tmp_path / "synth_requests.parquet"))
+    got = {r.chapter_id: r.text for r in registry.queries()["sidecar_texts_whole"](spark, str(tmp_path)).collect()}
+    assert got == {"c": "x" * 2500, "d": "y" * 2100}
