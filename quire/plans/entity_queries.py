@@ -197,3 +197,26 @@ def nearest_known(spark, sf):
     w = Window.partitionBy("chapter_id").orderBy("para_index", "para_id")
     p = read_table(spark, sf, "paragraphs").select("para_id", "chapter_id", "para_index", "lang").distinct().where("chapter_id is not null")
     return p.select("para_id", F.coalesce("lang", F.last("lang", True).over(w.rowsBetween(-3, -1)), F.first("lang", True).over(w.rowsBetween(1, 3))).alias("lang"))
+
+
+# The queries above hold for names whose letters DuckDB folds alike; these hold for every row, and have no SQL.
+@query()
+def name_clusters_all(spark, sf):
+    return E.clusters(read_table(spark, sf, "characters").select("character_id", "book_id", "name").distinct(), "book_id", "character_id", "name")
+
+
+@query()
+def word_subset_names_all(spark, sf):
+    d = read_table(spark, sf, "characters").groupBy("character_id", "book_id").agg(F.min("name").alias("name"))
+    return E.word_subsets(d, "book_id", "character_id", "name")
+
+
+@query()
+def cluster_representatives_all(spark, sf):
+    """``cluster_representatives`` of all names; one without key is a cluster of its own (k null, found by its record)."""
+    d = read_table(spark, sf, "characters").select("book_id", "character_id", "name", "aliases", "role").distinct()
+    d = d.withColumns({"k": N.loose(F.col("name")), "lines": F.when(F.col("aliases").isNotNull(), F.size("aliases"))})
+    d = d.withColumn("record", F.when(F.col("k").isNull(), F.col("character_id"))).withColumn("cluster", F.coalesce(F.concat(F.lit("k"), "k"), F.concat(F.lit("r"), "record")))
+    best = E.representatives(d, ["book_id", "cluster"], "name", "aliases", "lines").drop("aliases")
+    members = d.groupBy("book_id", "cluster").agg(F.first("k").alias("k"), F.first("record").alias("record"), F.count(F.lit(1)).alias("members"))
+    return best.join(members, ["book_id", "cluster"]).select("book_id", "k", "record", "name", "lines", "members")

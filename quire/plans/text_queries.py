@@ -255,6 +255,24 @@ def word_jaccard(spark, sf):
     return d.select("doc_id", N.word_jaccard(F.col("title"), F.col("source")).alias("jaccard"))
 
 
+# name_folded, name_canonical and word_jaccard hold for the rows that DuckDB folds alike; these hold for every row, and have no SQL.
+@query()
+def name_folded_all(spark, sf):
+    d = read_table(spark, sf, "characters").select("character_id", "name").distinct()
+    return d.select("character_id", F.lower(N.fold(F.col("name"))).alias("folded"))
+
+
+@query()
+def name_canonical_all(spark, sf):
+    d = read_table(spark, sf, "characters").select("character_id", "book_id", N.canonical(F.col("name")).alias("canon")).distinct()
+    return d.where("canon <> ''").groupBy("book_id", "canon").agg(F.count(F.lit(1)).alias("records"))
+
+
+@query()
+def word_jaccard_all(spark, sf):
+    return read_table(spark, sf, "documents").select("doc_id", N.word_jaccard(F.col("title"), F.col("source")).alias("jaccard"))
+
+
 @query()
 def novel_names(spark, sf):
     """Capitalised names in English texts that no record of the book has, by frequency."""

@@ -65,3 +65,26 @@ def test_split_and_upsert(spark, rows):
     new = spark.createDataFrame([("1", "unknown"), ("2", "male"), ("3", None), (None, "x")], "k string, g string")
     assert rows(E.upsert_characters(old, new, "k", ["g"])) == [("1", "female"), ("2", "male"), ("3", None)]
     assert spark.range(1).select(E.patched_confidence(F.lit(1.239))).first()[0] == 1.0
+
+
+def test_queries_over_all_names(spark, tmp_path):
+    import re
+    import unicodedata
+
+    from quire.plans import registry
+
+    names = {"1": "Kelsar Orveltam", "2": "kélsar-orveltam", "3": "Холкел", "4": "傅寒沈", "5": None, "6": "O'Brien Kel", "7": "Kel O Brien Zan", "8": ""}
+    spark.createDataFrame([(i, "b", n, None, "x") for i, n in names.items()], "character_id string, book_id string, name string, aliases array<string>, role string").write.parquet(str(tmp_path / "characters.parquet"))
+    titles = {1: ("Đêm mưa", "mua"), 2: (None, "web"), 3: ("web", None), 4: ("日本", "web")}
+    spark.createDataFrame([(i, *t) for i, t in titles.items()], "doc_id long, title string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
+    folded = {i: None if n is None else "".join(c for c in unicodedata.normalize("NFD", n.replace("đ", "d").replace("Đ", "D")) if not unicodedata.combining(c)).lower() for i, n in names.items()}
+    canon = {i: " ".join(re.sub(r"[^a-z0-9_\s]", " ", n or "").split()) for i, n in folded.items()}
+    loose = {i: c.replace(" ", "") for i, c in canon.items()}
+    cluster = {i: min(j for j in names if loose[j] == loose[i]) if len(loose[i]) >= 2 else i for i in names}
+    assert {r.character_id: r.folded for r in run("name_folded_all")} == folded
+    assert {r.character_id: r.cluster for r in run("name_clusters_all")} == cluster
+    assert {(r.canon, r.records) for r in run("name_canonical_all")} == {(c, list(canon.values()).count(c)) for c in canon.values() if c}
+    assert {(r.small, r.large) for r in run("word_subset_names_all")} == {("6", "7")}
+    assert sorted(r.members for r in run("cluster_representatives_all")) == [1] * 6 + [2]
+    assert {r.doc_id: r.jaccard for r in run("word_jaccard_all")} == {1: 0.5, 2: 0.0, 3: 0.0, 4: 0.0}
