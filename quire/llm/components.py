@@ -55,17 +55,18 @@ def _rank(c: str, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col(c))
 
 
-def _round(edges: DataFrame, count: int, seed: int) -> DataFrame:
+def _round(edges: DataFrame, count: int, seed: int, least_blocks: int) -> DataFrame:
     """Per vertex of the present edges the representatives that cells found: (vertex, rep, rank)."""
-    ends = edges.select("u").unionAll(edges.select("v"))
-    degree = ends.groupBy("u").count().agg(F.max("count")).first()[0]
-    blocks = max(LEAST_BLOCKS, math.ceil(math.sqrt(count / CELL_EDGES)), math.ceil(degree / CELL_EDGES))
+    blocks = max(least_blocks, math.ceil(math.sqrt(count / CELL_EDGES)))
+    if count > blocks * CELL_EDGES:  # else no vertex can fill more than a row of cells
+        ends = edges.select("u").unionAll(edges.select("v"))
+        blocks = max(blocks, math.ceil(ends.groupBy("u").count().agg(F.max("count")).first()[0] / CELL_EDGES))
     place = lambda c: F.pmod(F.xxhash64(F.lit(7919), F.col(c)), F.lit(blocks).cast("long"))
     d = edges.select("u", "v", _rank("u", seed).alias("ru"), _rank("v", seed).alias("rv"), place("u").alias("row"), place("v").alias("col"))
     return d.groupBy("row", "col").applyInArrow(_cell, "vertex string, rep string, rank bigint")
 
 
-def connected_components(pairs: DataFrame, left: str, right: str) -> DataFrame:
+def connected_components(pairs: DataFrame, left: str, right: str, least_blocks: int = LEAST_BLOCKS) -> DataFrame:
     """Rows (id, group_id): every id of a pair of two different ids, neither null, with the least id of its group.
 
     Ids are strings and compare by code point. Pairs may repeat, be reversed or hold an id twice; pairs with a null
@@ -78,7 +79,7 @@ def connected_components(pairs: DataFrame, left: str, right: str) -> DataFrame:
     labels = None
     seed = 0
     while count := edges.count():
-        found = cut(_round(edges, count, seed))
+        found = cut(_round(edges, count, seed, least_blocks))
         # Row and column representatives meet: a vertex takes the least of them, and at once that one's own.
         best = found.groupBy("vertex").agg(F.min(F.struct("rank", "rep")).alias("m")).select("vertex", F.col("m.rep").alias("to"))
         onward = best.select(F.col("vertex").alias("to"), F.col("to").alias("far"))

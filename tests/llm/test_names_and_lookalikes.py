@@ -107,3 +107,39 @@ def test_pairs(spark):
     want = {("name", a, b) for a, b in itertools.combinations(sorted(same), 2)} - {("name", "1", "5")} | {("name", "10", "11")}
     assert got == want
     assert L.consistent_forms(d.limit(0)).count() == 0
+
+
+def test_rarity_decides():
+    """The same two forms are linked or not by how rare their tokens are."""
+    link = lambda a, b, n, total=1000: N.verify(a, b, lambda t: N.token_weight(n.get(t, 1), total), n, total)
+    # what is left over counts by its rarity: a common word hardly, a rare one much
+    assert link("acme harbour widgets of", "acme harbour widgets the", {"of": 900, "the": 800, "acme": 1, "harbour": 2, "widgets": 2}) in ("a", "b")
+    assert link("acme harbour widgets of", "acme harbour widgets the", {"of": 1, "the": 2, "acme": 300, "harbour": 400, "widgets": 300}) == ""
+    # a part of a name links if it is rare, not if every second one has it
+    assert link("orvel", "kelsar orvel", {"orvel": 2, "kelsar": 2}) == "a"
+    assert link("orvel", "kelsar orvel", {"orvel": 900, "kelsar": 1}) == "a?"
+    # a slip is one only beside a token that is far more common, or if it is rare itself
+    assert link("mai nat", "mai nhat", {"mai": 9, "nat": 3, "nhat": 300}) == "a"
+    assert link("mai nat", "mai nhat", {"mai": 9, "nat": 200, "nhat": 300}) == ""
+    # an abbreviation without its full stop stands for a word that many names have
+    assert link("acme corp", "acme corporation", {"acme": 2, "corp": 5, "corporation": 90}) == "a"
+    assert link("acme corp", "acme corporation", {"acme": 2, "corp": 5, "corporation": 3}) == ""
+
+
+def test_learned_nicknames_and_addresses(spark):
+    rows = [(f"b{i}", f"r{i}", f"Robert Smit{x}", [f"Bob Smit{x}"]) for i, x in enumerate("abcd")] + [("b9", "p", "Robert Gronar", None), ("b9", "q", "Bob Gronar", None)]
+    rows += [(f"b{i}", f"x{i}{k}", f"{pre}Korvel Darsen{x}", None) for i, x in enumerate("abcdef") for k, pre in enumerate(("", "Grand Vizier ", "Grand Vizier "))]
+    d = spark.createDataFrame([*rows, ("b9", "s", "Grand Vizier Gronar", None)], "book_id string, record string, name string, aliases array<string>")
+    forms = d.where("record like 'r%'").mapInArrow(N._forms(frozenset()), "book_id string, record string, form string, weak boolean, alias boolean")
+    assert N.nicknames(forms) == {("bob", "robert")}
+    assert "grand vizier" in N.forms_of_address(d)
+    got = {tuple(r) for r in N.entity_pairs(N.same_entities(d)).collect()}
+    assert ("p", "q") in got and ("x00", "x01") in got
+
+
+def test_hot_grams_are_split(spark, monkeypatch):
+    monkeypatch.setattr(N, "HOT", 3)
+    names = [f"kelsar orvel{x}{y}" for x in "abcd" for y in "mnop"]
+    forms = spark.createDataFrame([("b", n, False) for n in names], "book_id string, form string, weak boolean")
+    got = sorted((r.a, r.b) for r in N.candidates(forms).collect())
+    assert got == sorted(itertools.combinations(sorted(names), 2))
