@@ -99,3 +99,35 @@ def test_table(spark):
     d = spark.createDataFrame([(1, "A b. C d.", "en", 1), (1, "A b. C d.", "en", 1), (2, None, None, 1), (3, " ", "xx", 1)], "para_id long, text string, lang string, start_pos int")
     assert sorted(tuple(r) for r in S.sentences(d, "para_id").collect()) == [(1, 0, 4), (1, 5, 9)]
     assert S.sentences(d.limit(0), "para_id").count() == 0
+
+
+def test_quotations_of_any_length_are_not_cut():
+    long = "“" + " ".join(f"Clause {i} stands here." for i in range(4000)) + "” said Anna."
+    assert S.spans(long, LEARNED) == [(0, len(long))]
+    dash = "– " + "word " * 500 + "– Lan nói. Hết."
+    assert [dash[a:b] for a, b in S.spans(dash, LEARNED)][1:] == ["Hết."]
+    open_ended = "“Never closed. " * 3000  # each opening is looked up once, so this takes no time
+    assert len(S.spans(open_ended, LEARNED)) == 3000
+    speech = "“First part.\n“Second part.” She left."
+    assert [speech[a:b] for a, b in S.spans(speech, LEARNED)][-1] == "She left."
+
+
+def test_script_is_that_of_the_whole_text():
+    assert S.script_language("Plain Latin words all along the line. " * 300 + "漢") == ""
+    assert S.script_language("а" * 10 + "plain words " * 500) == "" and S.script_language("a" * 10 + "слово " * 500) == "ru"
+
+
+def test_speakers_words_and_starters_are_learned(spark):
+    """Words that stand in no list: made-up verbs of speech and an abbreviation that closes sentences."""
+    rng = random.Random(4)
+    name = lambda: "".join(rng.choice("aeiou") + rng.choice("lmnrt") for _ in range(3)).capitalize()
+    texts = []
+    for _ in range(400):
+        texts.append((f"“{name()} waits here!” {name()} {rng.choice(['blorped', 'fremmed'])}. The {rng.choice(['river', 'tower', 'lamp'])} was dark, the yard was cold.", "qq"))
+        texts.append((f"Nobody saw the lamp. Grv. {name()} came by, the yard was dark. {name()} met Grv. {name()}! The end of it.", "qq"))
+        texts.append((f"Then {rng.choice(['blorped', 'fremmed'])} the miller by the river, the lamp and the tower, the yard was cold.", "qq"))
+    d = spark.createDataFrame(texts, "text string, lang string")
+    own = S.learn(d, S.language_words(d))["qq"]
+    assert {"blorped", "fremmed"} <= own.last and "said" not in own.last and "the" in own.starters and own.abbreviations["grv"] is False
+    text = "“Go!” Anna blorped. He paid Grv. Anna. He paid Grv. The tower fell."
+    assert [text[a:b] for a, b in S.spans(text, own)] == ["“Go!” Anna blorped.", "He paid Grv. Anna.", "He paid Grv.", "The tower fell."]
