@@ -57,6 +57,7 @@ _EVENT = regex.compile(r"[.!?。！？｡…؟।॥．“”„«»‘「『\"
 _CASELESS = regex.compile(r"[\p{Script=Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
 _THAI, _KANA, _HAN = regex.compile(r"\p{Thai}"), regex.compile(r"[\p{Hiragana}\p{Katakana}]"), regex.compile(r"\p{Han}")
 _SCRIPTS = [(regex.compile(r"\p{Arabic}"), "ar"), (regex.compile(r"\p{Devanagari}"), "hi")]
+_OWN_SCRIPT = regex.compile(r"[\p{Hiragana}\p{Katakana}\p{Thai}\p{Arabic}\p{Devanagari}\p{Cyrillic}\p{Han}]")
 _LETTERS = [regex.compile(r"\p{Latin}"), regex.compile(r"\p{Cyrillic}"), regex.compile(r"\p{Greek}")]
 _VIETNAMESE = regex.compile("[ăđơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹĂĐƠƯ]")
 
@@ -90,7 +91,7 @@ def script_of(lang: str) -> str:
 
 def script_language(text: str) -> str:
     """The language that the script alone decides, else 'ru' or ''."""
-    if text.isascii():
+    if text.isascii() or not _OWN_SCRIPT.search(text):
         return ""
     if _KANA.search(text):
         return "ja"
@@ -133,8 +134,11 @@ def _language(text: str, lang: str | None, words: dict[str, dict[str, float]] |
 
 #: Languages that have a script of their own, so a label that the text's script doesn't bear out is wrong.
 _BY_SCRIPT = ("ja", "th", "ar", "hi", "ru", "zh")
-_DOTTED = regex.compile(r"(?<![\p{L}\p{M}\p{N}.’'\-])(\p{L}[\p{L}\p{M}\p{N}.’'\-­​-‍⁠﻿]*\.)(?![\p{L}\p{M}\p{N}.’'\-])(?:(?=( *\n))|(?=\s+(\p{L}[\p{L}\p{M}]*)))?")
-_START = regex.compile(r"(?:\A|[!?؟।])\s*(\p{L}[\p{L}\p{M}\p{N}.’'\-­​-‍⁠﻿]*)")
+_FIRST = regex.compile(r"\s*(\p{L}[\p{L}\p{M}\p{N}.’'\-­​-‍⁠﻿]*)")
+_START = regex.compile(r"[!?؟।]\s*(\p{L}[\p{L}\p{M}\p{N}.’'\-­​-‍⁠﻿]*)")
+_BEFORE_DOT = regex.compile(r"(?r)\p{L}[\p{L}\p{M}\p{N}.’'\-­​-‍⁠﻿]*")
+_AFTER_DOT = regex.compile(r"( *(?:\n|\Z))|\s+(\p{L}[\p{L}\p{M}]*)")
+_IN_WORD = regex.compile(r"[\p{L}\p{M}\p{N}.’'\-­​-‍⁠﻿]")
 _ORDINAL = regex.compile(r"(?<![\p{N}.,])\p{N}{1,3}\.[\s]+(\p{L}[\p{L}\p{M}]*)")
 _AFTER = regex.compile(r"(?:[”」』]\s*|[\"“’»]\s+)(\p{L}[^.!?。！？｡…؟।,，:：;「『“„«\"\n–—]*)[.。।!！]")
 _MID = regex.compile(r"(?<=[\p{Ll},] )(\p{Lu}[\p{L}\p{M}]*)")
@@ -142,6 +146,16 @@ _TAIL = regex.compile(r"([\p{Han}\p{Hiragana}\p{Katakana}]{1,3})[。！？!?.]")
 _NO_SPACES = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]\Z")
 
 
+def _dotted(text: str) -> Iterator[tuple[str, bool, str]]:
+    """Every word that ends with a full stop, whether it closes the text or a line, and the word that follows it."""
+    at = text.find(".")
+    while at >= 0:
+        if not _IN_WORD.match(text, at + 1) and (m := _BEFORE_DOT.match(text, 0, at)):
+            after = _AFTER_DOT.match(text, at + 1)
+            yield m[0] + ".", bool(after) and after[1] is not None, (after[2] or "") if after else ""
+        at = text.find(".", at + 1)
+
+
 class _Tally:
     """Counts of one language within a batch, first of what the texts hold and in the end of types."""
 
@@ -159,9 +173,11 @@ class _Tally:
     def add(self, text: str) -> None:
         self.raw.update(_WORD.findall(text))
         if "." in text:
-            self.dotted.update(_DOTTED.findall(text + "\n"))
+            self.dotted.update(_dotted(text))
             self.ordinal.update(_ORDINAL.findall(text))
         self.start.update(_START.findall(text))
+        if m := _FIRST.match(text):
+            self.start[m[1]] += 1
         self.after.update(_AFTER.findall(text))
         self.tail.update(_TAIL.findall(text))
         self.mid.update(_MID.findall(text))
