@@ -76,7 +76,7 @@ def _ranked(items: DataFrame) -> DataFrame:
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("length", "_part", F.coalesce(before, F.lit(0)).alias("_before"))
     within = F.row_number().over(Window.partitionBy("length", "_part").orderBy("item_id", "part_no")) - 1
-    return d.withColumn("_in", within).join(sizes, ["length", "_part"]).withColumn("rank", F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
+    return d.withColumn("_in", within).join(sizes.hint("merge"), ["length", "_part"]).withColumn("rank", F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
 
 
 def _places(spark: SparkSession, plan: list[tuple[int, dict[int, int], int]]) -> DataFrame:
@@ -114,9 +114,10 @@ def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFra
     start = (F.col("part_no") - 1).cast("long") * capacity
     d = d.withColumns({"start_token": start, "length": F.least(F.lit(capacity).cast("long"), F.col("size") - start)}).drop("size")
     counts = d.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most ``capacity`` rows
+    # the sides grow with the documents, so they are merged whatever the planner guesses of their size
     plan = plan_best_fit({r["length"]: r["n"] for r in counts}, capacity)
     places = _places(spark, plan)
-    return _ranked(d).join(places, ["length", "rank"]).select("container", "item_id", "part_no", "n_parts", "start_token", "length")
+    return _ranked(d).join(places.hint("merge"), ["length", "rank"]).select("container", "item_id", "part_no", "n_parts", "start_token", "length")
 
 
 def packed_documents(docs: DataFrame, capacities: list[tuple[int, int]], count_tokens) -> DataFrame:

@@ -174,3 +174,33 @@ def test_queries_run(spark, sf):
     shares = queries()["p8_shares"](spark, sf)
     assert shares.agg(F.round(F.sum("share"), 2)).first()[0] == 1.0
     assert queries()["p9_found"](spark, sf).columns == ["doc_id"]
+
+
+def test_any_range_of_the_tree_is_the_same():
+    counts = [1000, 7, 0, 993]
+    whole = list(M.split_range(counts, 11, 0, 11, 5))
+    assert [s for s, *_ in whole] == list(range(11))
+    assert np.array([own for *_, own in whole]).sum(axis=0).tolist() == counts
+    assert [x for lo in (0, 4, 7) for x in M.split_range(counts, 11, lo, {0: 4, 4: 7, 7: 11}[lo], 5)] == whole
+    so_far = np.zeros(4, int)
+    for _, before, own in whole:
+        assert before == so_far.tolist()
+        so_far += own
+    sizes = [sum(own) for *_, own in whole]
+    assert max(sizes) - min(sizes) <= 4
+    huge = list(M.split_range([3_000_000_000, 40], 7, 0, 7, 1))
+    assert sum(own[0] for *_, own in huge) == 3_000_000_000 and sum(own[1] for *_, own in huge) == 40
+    assert max(sum(own) for *_, own in huge) - min(sum(own) for *_, own in huge) <= 8
+
+
+def test_mix_with_many_blocks_and_shards(spark, monkeypatch):
+    """Blocks numbered in several parts, more shards than a source once had blocks; shards of equal size."""
+    monkeypatch.setattr(M, "RANKED", 100)
+    d = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"), (F.col("id") % 7 + 5).alias("n_tokens"))
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    mixed = M.mix(d, targets, shards=40)
+    by = [r.t for r in mixed.groupBy("shard").agg(F.sum("n_tokens").alias("t")).collect()]
+    assert len(by) == 40 and max(by) < 1.25 * min(by)  # some 1,500 documents each
+    share = {r.source: r.t for r in mixed.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
+    assert share["a"] == pytest.approx(share["b"], rel=1e-3)
+    assert mixed.groupBy("doc_id", "repeat").count().where("count > 1").count() == 0
