@@ -13,8 +13,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: So many numbers of pieces are tried before pieces of full length are taken.
-ATTEMPTS = 30
 #: Strength of a boundary.
 BLOCK, SENTENCE, WORD, NONE = 3, 2, 1, 0
 NAMES = {BLOCK: "block", SENTENCE: "sentence", WORD: "word", NONE: "inside"}
@@ -96,6 +94,8 @@ def _try(text: str, levels: list[tuple[int, list[int]]], most: int, overlap: int
             cut = _nearest(places, target, low, high)
             if cut is not None:
                 break
+        if cut is None:  # a word's end farther back is still better than a cut inside a word
+            cut, strength = _nearest(words, target, max(end, start) + 1, high), WORD
         if cut is None:
             cut, strength = _whole(text, target, low - 1), NONE
         pieces.append((start, cut, strength))
@@ -114,12 +114,28 @@ def _try(text: str, levels: list[tuple[int, list[int]]], most: int, overlap: int
     return pieces
 
 
+def _forward(text: str, levels: list[tuple[int, list[int]]], most: int, overlap: int) -> list[tuple[int, int, int]]:
+    """Pieces one after the other, each as long as the limit allows and cut at the strongest boundary in its second half."""
+    pieces, start, end = [], 0, 0
+    while len(text) - start > most:
+        low, high = max(end + 1, start + most // 2), start + most
+        cut, strength = high, NONE
+        for level, places in levels:
+            k = bisect.bisect_right(places, high) - 1
+            if k >= 0 and places[k] >= low:
+                cut, strength = places[k], level
+                break
+        pieces.append((start, cut, strength))
+        end, start = cut, max(start + 1, cut - overlap)
+    return [*pieces, (start, len(text), BLOCK)]
+
+
 def split_text(blocks: list[str], most: int, overlap: int) -> tuple[str, list[tuple[int, int, int]]]:
     """The visible text and its pieces (start, end, strength of the end), all of ``most`` code points at most.
 
     As few pieces as the limit allows get targets of equal length; each target snaps to the strongest boundary near it
-    (end of a block, a sentence, a word); if some piece then breaks the limit, one more piece is tried. A text within
-    the limit is one piece, an empty one none. ``overlap`` is cut to half of ``most`` if it is larger.
+    (end of a block, a sentence, a word); if some piece then breaks the limit, more pieces are tried and
+    the least number of pieces that holds is taken. A text within the limit is one piece, an empty one none. ``overlap`` is cut to half of ``most`` if it is larger.
     """
     if most < 1:
         raise ValueError("the limit must be at least 1")
@@ -130,15 +146,23 @@ def split_text(blocks: list[str], most: int, overlap: int) -> tuple[str, list[tu
     if len(text) <= most:
         return text, [(0, len(text), BLOCK)]
     levels = [(BLOCK, ends), (SENTENCE, sentences), (WORD, words)]
-    n = max(2, math.ceil((len(text) - overlap) / (most - overlap)))
-    for _ in range(ATTEMPTS):
-        found = _try(text, levels, most, overlap, n)
-        if found:
-            return text, found
-        n += max(1, n // 20)
-    # a limit so small that no balanced cut holds: full pieces, one after the other
-    starts = range(0, len(text) - overlap, most - overlap)
-    return text, [(a, min(a + most, len(text)), BLOCK if a + most >= len(text) else NONE) for a in starts]
+    least = max(2, math.ceil((len(text) - overlap) / (most - overlap)))
+    # more pieces are shorter and so hold sooner: steps that double find a number that holds, bisection the least near it
+    fails, step = least - 1, 1
+    n, found = least, _try(text, levels, most, overlap, least)
+    while found is None and n < len(text):
+        fails, n = n, min(n + step, len(text))
+        found, step = _try(text, levels, most, overlap, n), step * 2
+    while found is not None and n - fails > 1:
+        middle = (fails + n) // 2
+        fewer = _try(text, levels, most, overlap, middle)
+        if fewer is None:
+            fails = middle
+        else:
+            n, found = middle, fewer
+    if found is None:  # not even one new sign a piece holds: only where marks that can't be parted fill the limit
+        found = _forward(text, levels, most, overlap)
+    return text, found
 
 
 _SCHEMA = pa.schema(

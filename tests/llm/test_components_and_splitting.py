@@ -116,3 +116,15 @@ def test_p2_sql(spark, sf):
     from tests.oracles import compare, connect
 
     compare(connect(sf), QUERIES["p2_found"](spark, sf), ORACLES["p2_found"])
+
+
+@pytest.mark.parametrize(("most", "overlap"), [(500, 50), (200, 20), (40, 5), (12, 3)])
+def test_small_limits_still_snap_and_stay_near_the_least_number(most, overlap):
+    rng = random.Random(8)
+    blocks = [" ".join("".join(rng.choice("abcdefg") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(5, 60))) + "." for _ in range(600)]
+    text, pieces = S.split_text(blocks, most, overlap)
+    assert all(0 < b - a <= most for a, b, _ in pieces)
+    least = -(-(len(text) - overlap) // (most - overlap))
+    assert len(pieces) <= {500: 1.1, 200: 1.2, 40: 1.6, 12: 3}[most] * least
+    if most >= 40:
+        assert sum(s == S.NONE for *_, s in pieces) <= 0.02 * len(pieces)
