@@ -19,12 +19,11 @@ LIMIT_RATIO = 4.0
 NEAR = 8
 #: A closing line is seen so often as a last line, and with at least this share of its places.
 LEAST_CLOSING, CLOSING_SHARE, CLOSING_CHARS = 4, 0.7, 60
-#: Code points of the end of a text that are inspected.
-TAIL = 400
 
 # Marks that end a sentence, signs that may close after them, what a broken transfer leaves behind.
 END_MARKS = ".!?。！？…؟।"
 CLOSERS = "\"'”’»“«」』)）\\]"
+_CLOSING_SIGNS = CLOSERS.replace("\\", "")
 _ENDED = f"[{END_MARKS}][ \\u00a0\\u2009\\u202f]?[{CLOSERS}]*$"
 _DOTS = "(\u2026|\\.\\.\\.|\\[\u2026\\]|\\[\\.\\.\\.\\])$"
 _BROKEN = "(\ufffd+|&#?[A-Za-z0-9]{0,8}|</?[A-Za-z]{0,8})$"
@@ -39,8 +38,10 @@ _BLANKS = " \t\r\u00a0\u2002\u2003\u2007\u2009\u202f\u3000"
 
 def _with_core(docs: DataFrame) -> DataFrame:
     """Texts, and those with remains of a broken transfer once more without them."""
-    kept = F.regexp_replace(F.right("text", F.lit(40)), f"\\s?{_BROKEN}", "")
-    lost = F.least(F.length("text"), F.lit(40)) - F.length(kept)
+    whole = F.rtrim("text", F.lit("\ufffd"))  # a run of any length; the other remains have twelve signs at most
+    end = F.right(whole, F.lit(12))
+    kept = F.when(F.length(whole) < F.length("text"), F.regexp_replace(end, "\\s$", "")).otherwise(F.regexp_replace(end, f"\\s?{_BROKEN}", ""))
+    lost = F.length("text") - F.length(whole) + F.length(end) - F.length(kept)
     texts = F.when(F.col("_lost") > 0, F.array("text", F.expr("left(text, length(text) - _lost)"))).otherwise(F.array("text"))
     return docs.withColumn("_lost", lost).withColumn("text", F.explode(texts)).drop("_lost")
 
@@ -96,7 +97,7 @@ def _keys(line: Column) -> Column:
     opening = F.when(short, F.regexp_extract(line, _OPENING, 1))
     word = F.substring_index(line, " ", -1)
     word = F.when(F.right(word, F.lit(1)).rlike("[\\u3040-\\u30ff\\u4e00-\\u9fff\\u0e00-\\u0e7f]"), F.right(word, F.lit(2))).otherwise(word)
-    key = lambda kind, v: F.xxhash64(F.lit(kind), v)
+    key = lambda kind, v: F.when(v.isNotNull(), F.xxhash64(F.lit(kind), v))
     return F.array(key("line", shape), key("opening", opening), key("word", word))
 
 
@@ -104,25 +105,54 @@ def _lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.rtrim(x, F.lit(_BLANKS))), lambda x: x != "")
 
 
+def _last_line(text: Column) -> Column:
+    return F.rtrim(F.substring_index(text, "\n", -1), F.lit(_BLANKS))
+
+
+def _without(text: Column, end: Column) -> Column:
+    return F.left(text, F.length(text) - F.length(end))
+
+
 def _inspected(docs: DataFrame) -> DataFrame:
-    """Per document whose ending isn't plainly whole: what the ending shows, its last lines, and its sizes.
+    """Per document whose ending isn't plainly whole: what the ending and its last two lines show, and its sizes.
 
-    A text with remains of a broken transfer has two rows, which differ in their sizes only. The explodes keep the
-    optimizer from computing an ending anew in every condition on it.
+    A text with remains of a broken transfer has two rows, which differ in their sizes only. Lines count whole, however
+    long they are; where only a few signs decide, only these are looked at. The explodes keep the optimizer from
+    computing an ending anew in every condition on it.
     """
-    tail = F.rtrim(F.right("text", F.lit(TAIL)), F.lit(_BLANKS + "\n"))
-    d = docs.withColumn("tail", F.explode(F.array(tail))).withColumn("end", F.explode(F.array(F.right("tail", F.lit(40))))).where("tail <> ''")
+    once = lambda c: F.explode(F.array(c))
+    d = docs.withColumn("tail", once(F.rtrim("text", F.lit(_BLANKS + "\n")))).where("tail <> ''")
+    d = d.withColumn("end", once(F.right("tail", F.lit(16)))).withColumn("bare", once(F.right(F.rtrim("tail", F.lit(_CLOSING_SIGNS)), F.lit(2))))
     d = d.withColumns(
         {
             "dots": F.col("end").rlike(_DOTS),
             "broken": F.col("end").rlike(_BROKEN),
-            "ended": F.col("end").rlike(_ENDED),
+            "ended": F.col("bare").rlike(f"[{END_MARKS}][ \\u00a0\\u2009\\u202f]?$"),
             "short": F.regexp_extract("end", f"(?:^|[\\s(«“\"])((?:(?:{_OPENING_ABBREVIATIONS})\\.|\\p{{Nd}}{{1,3}}[.,]))$", 1),
         }
     )
-    d = d.where("broken or dots or not ended or short <> ''").withColumn("lines", _lines(F.col("tail")))
-    d = d.withColumns({"line": F.coalesce(F.try_element_at("lines", F.lit(-1)), F.lit("")), "before": F.coalesce(F.try_element_at("lines", F.lit(-2)), F.lit(""))})
-    return lengths(_with_core(d.drop("lines", "end"))).drop("text")
+    d = d.where("broken or dots or not ended or short <> ''").withColumn("line", once(_last_line(F.col("tail"))))
+    above = F.rtrim(_without(F.col("tail"), F.substring_index("tail", "\n", -1)), F.lit(_BLANKS + "\n"))
+    d = d.withColumn("before", once(_last_line(above)))
+    dotted = F.regexp_extract("end", "\\s?(…|\\[…\\])$", 0)
+    undotted = F.right(F.rtrim(_without(F.col("tail"), dotted), F.lit(_CLOSING_SIGNS)), F.lit(1))
+    before_bare = F.right(F.rtrim("before", F.lit(_CLOSING_SIGNS)), F.lit(2))
+    listed = "^[^:：]*\\p{Nd}+[^:：]{0,3}[:：] ?\\S"
+    d = d.withColumns(
+        {
+            "keys": _keys(F.col("line")),
+            "short_line": F.length("line") < CLOSING_CHARS,
+            "after_line": F.col("before") != "",
+            "has_opening": (F.length("line") < CLOSING_CHARS) & (F.regexp_extract("line", _OPENING, 1) != ""),
+            "signs": (F.length("line") < CLOSING_CHARS) & F.col("line").rlike("^[(（].*[)）]$|^[\\p{P}\\p{S}\\s]+$"),
+            "listed": F.col("line").rlike(listed),
+            "was_listed": F.col("before").rlike(listed),
+            "unmarked_before": (F.col("before") != "") & ~before_bare.rlike(f"[{END_MARKS}][ \\u00a0\\u2009\\u202f]?$"),
+            "thai": F.right("tail", F.lit(12)).rlike("[\\u0e00-\\u0e7f]"),
+            "dots_after_end": (dotted != "") & undotted.rlike("[.!?。！？؟।]"),
+        }
+    )
+    return lengths(_with_core(d.drop("tail", "end", "bare", "line", "before"))).drop("text")
 
 
 def truncated(docs: DataFrame) -> DataFrame:
@@ -147,26 +177,21 @@ def truncated(docs: DataFrame) -> DataFrame:
     # every line of every distinct text, by its keys: how often last, how often not; a text's copies count once
     lines = docs.select(F.xxhash64("text").alias("_h"), F.transform(_lines(F.col("text")), _keys).alias("keys")).dropDuplicates(["_h"])
     lines = lines.select(F.size("keys").alias("n"), F.posexplode("keys").alias("i", "line"))
-    lines = lines.select(F.explode("line").alias("key"), (F.col("i") == F.col("n") - 1).cast("int").alias("last"))
+    lines = lines.select(F.explode("line").alias("key"), (F.col("i") == F.col("n") - 1).cast("int").alias("last")).where("key is not null")
     known = lines.groupBy("key").agg(F.sum("last").alias("lasts"), F.sum(1 - F.col("last")).alias("inner"))
-    asked = suspects.select("doc_id", F.posexplode(_keys(F.col("line"))).alias("k", "key"))
+    asked = suspects.select("doc_id", F.posexplode("keys").alias("k", "key")).where("key is not null")
     told = asked.join(known, "key").groupBy("doc_id").agg(
         *[F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{name}_{c}") for k, name in enumerate(("line", "opening", "word")) for c in ("lasts", "inner")]
     )
     d = suspects.join(told, "doc_id", "left").join(hit, "doc_id", "left").withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
     usual = lambda name: (F.col(f"{name}_lasts") >= LEAST_CLOSING) & (F.col(f"{name}_lasts") >= CLOSING_SHARE * (F.col(f"{name}_lasts") + F.col(f"{name}_inner")))
-    has_opening = F.regexp_extract("line", _OPENING, 1) != ""
-    closing = (F.length("line") < CLOSING_CHARS) & ((F.col("before") != "") & (usual("line") | (has_opening & usual("opening"))) | F.col("line").rlike("^[(（].*[)）]$|^[\\p{P}\\p{S}\\s]+$"))
-    listed = F.col("line").rlike("^[^:：]*\\p{Nd}+[^:：]{0,3}[:：] ?\\S")
-    was_listed = F.col("before").rlike("^[^:：]*\\p{Nd}+[^:：]{0,3}[:：] ?\\S")
-    unmarked_before = (F.col("before") != "") & ~F.col("before").rlike(_ENDED)
-    verse = unmarked_before & (listed | ~was_listed) & (F.col("word_inner") >= 1) & ~F.col("at_limit")
-    thai = F.right("tail", F.lit(12)).rlike("[\\u0e00-\\u0e7f]") & ~F.col("at_limit")
-    dots_after_end = F.col("tail").rlike(f"[.!?。！？؟।][{CLOSERS}]*\\s?(…|\\[…\\])$")
+    closing = F.col("short_line") & ((F.col("after_line") & (usual("line") | (F.col("has_opening") & usual("opening")))) | F.col("signs"))
+    verse = F.col("unmarked_before") & (F.col("listed") | ~F.col("was_listed")) & (F.col("word_inner") >= 1) & ~F.col("at_limit")
+    thai = F.col("thai") & ~F.col("at_limit")
     never_ends = (F.col("short") != "") & (F.coalesce("word_inner", F.lit(0)) == 0)
     reason = (
         F.when(F.col("broken"), "broken transfer")
-        .when(F.col("dots"), F.when(F.col("at_limit") & ~dots_after_end, "dots at a limit"))
+        .when(F.col("dots"), F.when(F.col("at_limit") & ~F.col("dots_after_end"), "dots at a limit"))
         .when(never_ends, "abbreviation that ends no line")
         .when(F.col("ended"), None)
         .when(closing | verse | thai, None)
