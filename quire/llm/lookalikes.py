@@ -178,12 +178,17 @@ def consistent_forms(items: DataFrame) -> DataFrame:
 def look_alike_pairs(forms: DataFrame) -> DataFrame:
     """Pairs of one book and kind with one form but different texts: (item_kind, first_id, second_id).
 
-    Classes whose texts are all equal are dropped before anything is joined. Rows without a book pair with none.
+    Classes whose texts are all equal are dropped before anything is joined. Rows without a book pair with none. All
+    pairs of a class are the result asked for; ``consistent_forms`` gives the classes themselves.
     """
     d = forms.where("book_id is not null").select("item_kind", "book_id", "item_id", "raw", F.md5(F.encode("form", "UTF-8")).alias("form")).distinct()
     mixed = d.groupBy("item_kind", "book_id", "form").agg(F.min("raw").alias("a"), F.max("raw").alias("b")).where("a <> b").drop("a", "b")
     d = cut(d.join(mixed, ["item_kind", "book_id", "form"], "left_semi"))
-    a = d.select("item_kind", "book_id", "form", F.col("item_id").alias("first_id"), F.col("raw").alias("raw1"))
-    b = d.select("item_kind", "book_id", "form", F.col("item_id").alias("second_id"), F.col("raw").alias("raw2"))
-    pairs = a.join(b, ["item_kind", "book_id", "form"]).where("first_id < second_id and raw1 <> raw2")
+    # the differing texts of a form are paired, and only then their items: copies of one text never meet each other
+    texts = d.select("item_kind", "book_id", "form", "raw").distinct()
+    side = lambda n: texts.select("item_kind", "book_id", "form", F.col("raw").alias(f"raw{n}"))
+    of = lambda n: d.select("item_kind", "book_id", "form", F.col("raw").alias(f"raw{n}"), F.col("item_id").alias(f"id{n}"))
+    keys = ["item_kind", "book_id", "form"]
+    pairs = side(1).join(side(2), keys).where("raw1 < raw2").join(of(1), [*keys, "raw1"]).join(of(2), [*keys, "raw2"]).where("id1 <> id2")
+    pairs = pairs.select("item_kind", F.least("id1", "id2").alias("first_id"), F.greatest("id1", "id2").alias("second_id"))
     return pairs.select("item_kind", "first_id", "second_id").distinct()
