@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A chunk ends at a sentence if one ends in this last part of it.
 TAIL_SHARE = 0.7
+#: What a chunk may end after, and how many signs of it stay in the chunk.
+ENDS = ((". ", 1), ("! ", 1), ("? ", 1), (".\n", 1), ("</p>", 4))
 #: Signs that two answers share at most and at least where they are stitched.
 MOST_SHARED, LEAST_SHARED = 80, 10
 
@@ -17,7 +20,8 @@ MOST_SHARED, LEAST_SHARED = 80, 10
 def chunk(text: str | None, most: int = 8000, overlap: int = 200) -> list[str]:
     """Chunks of ``most`` signs at most, each but the first beginning ``overlap`` signs before the end of the one before.
 
-    A chunk ends after the last end mark in its last part, else at the limit. Null and empty texts have no chunks.
+    A chunk ends after the last end mark or closed paragraph in its last part, else at the limit; no tag is cut at its
+    closing bracket. Null and empty texts have no chunks.
     """
     if not 0 <= overlap < most:
         raise ValueError("the overlap must be smaller than the limit")
@@ -25,9 +29,9 @@ def chunk(text: str | None, most: int = 8000, overlap: int = 200) -> list[str]:
     while text and at < len(text):
         end = min(len(text), at + most)
         if end < len(text):
-            stop = max(text.rfind(mark, at, end) for mark in (". ", "! ", "? ", "</p>", "\n"))
-            if stop - at > most * TAIL_SHARE and stop + 1 - overlap > at:
-                end = stop + 1
+            stop = max((k + keep for mark, keep in ENDS if (k := text.rfind(mark, at, end)) >= 0), default=0)
+            if stop - at > most * TAIL_SHARE and stop - overlap > at:
+                end = stop
         out.append(text[at:end])
         if end == len(text):
             break
@@ -35,6 +39,48 @@ def chunk(text: str | None, most: int = 8000, overlap: int = 200) -> list[str]:
     return out
 
 
+def packed_paragraphs(text: str | None, most: int) -> list[str]:
+    """Whole paragraphs gathered into chunks of ``most`` signs at most, a blank line between them.
+
+    A text that is one paragraph is gathered by sentences. A paragraph above the limit is a chunk of its own, uncut.
+    """
+    if not text:
+        return []
+    if len(text) <= most:
+        return [text]
+    parts = re.split(r"\n\s*\n", text)
+    if len(parts) == 1:
+        parts = re.split(r"(?<=[.!?。！？…])\s+", text)
+    out: list[str] = []
+    open_ = False  # whether the last chunk takes more
+    for part in filter(None, map(str.strip, parts)):
+        fits = open_ and len(out[-1]) + len(part) + 2 <= most
+        if fits:
+            out[-1] += "\n\n" + part
+        else:
+            out.append(part)
+        open_ = len(part) <= most
+    return out
+
+
+def read_aloud(text: str | None, target: int = 1200, least: int = 40) -> list[str]:
+    """Pieces of narration: a text within ``target`` is one; another ends a piece with every sentence that makes it ``least`` long."""
+    text = (text or "").strip()
+    if len(text) <= target:
+        return [text] if text else []
+    out, held = [], ""
+    for m in re.finditer(r"(.*?)(?:([.!?。！？]+)\s+|\Z)", text, re.S):
+        body, marks = m[1], m[2]
+        if held and body and len(held) + len(body) > target:
+            out.append(held)
+            held = ""
+        held += body + (marks or "")
+        if marks and body and len(held) >= least:
+            out.append(held)
+            held = ""
+    return [p for p in map(str.strip, [*out, held]) if p]
+
+
 def stitch(parts: list[str]) -> str:
     """Parts joined over the longest text that the end of one and the beginning of the next share."""
     out = ""

@@ -7,12 +7,15 @@ entities they touch; ``HistoryStore`` keeps a history on disk and replaces chain
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.session import checkpoint_dir
+
 OPEN_END = "9999-12-31 00:00:00"
 
 
@@ -75,10 +78,15 @@ def rebuild_chains(
 class HistoryStore:
     """A history on shared storage in hash buckets; a manifest names the folder of each bucket.
 
-    An update writes the touched buckets to new folders and then renames a new manifest over the old one. A reader
-    sees all of an update or nothing of it, and an update that dies leaves only folders that no manifest names.
+    An update writes the touched buckets to new folders and then publishes the next manifest, whose number must be
+    free. A reader sees all of an update or nothing of it; an update that dies leaves only folders that no manifest
+    names; of two updates at once the later one starts again from the manifest of the earlier. ``vacuum`` removes what
+    no manifest needs any longer.
     """
 
+    #: So often an update starts again if others were faster.
+    TRIES = 20
+
     def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = 64):
         self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
 
@@ -87,25 +95,39 @@ class HistoryStore:
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         return jvm, conf, jvm.org.apache.hadoop.fs.Path
 
-    def _manifest(self) -> dict[str, str]:
+    def _numbers(self) -> list[int]:
         jvm, conf, path = self._hadoop()
-        p = path(f"{self.path}/manifest.json")
-        fs = p.getFileSystem(conf)
-        if not fs.exists(p):
-            return {}
-        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.path}/manifest.json").collect()))
-
-    def _publish(self, manifest: dict[str, str]) -> None:
+        fs = path(self.path).getFileSystem(conf)
+        if not fs.exists(path(self.path)):
+            return []
+        found = (re.fullmatch(r"manifest-(\d+)\.json", s.getPath().getName()) for s in fs.listStatus(path(self.path)))
+        return sorted(int(m[1]) for m in found if m)
+
+    def _manifest(self, number: int | None = None) -> tuple[int, dict[str, str]]:
+        """The number and the content of a manifest, by default the newest; 0 and nothing before the first."""
+        if number is None:
+            number = max(self._numbers(), default=0)
+        if not number:
+            return 0, {}
+        return number, json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.path}/manifest-{number:09}.json").collect()))
+
+    def _publish(self, number: int, manifest: dict[str, str]) -> bool:
+        """Whether the manifest became number ``number``; False if another has that number."""
         jvm, conf, path = self._hadoop()
-        new, now = path(f"{self.path}/manifest.{uuid.uuid4().hex}.tmp"), path(f"{self.path}/manifest.json")
+        new, here = path(f"{self.path}/.manifest.{uuid.uuid4().hex}.tmp"), path(f"{self.path}/manifest-{number:09}.json")
         fs = new.getFileSystem(conf)
         out = fs.create(new, True)
         out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
         out.close()
-        option = jvm.org.apache.hadoop.fs.Options.Rename
-        options = self.spark.sparkContext._gateway.new_array(option, 1)
-        options[0] = option.OVERWRITE
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), conf).rename(new, now, options)
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), conf).rename(new, here, options)
+        except Exception as error:
+            fs.delete(new, False)
+            if "FileAlreadyExists" in str(error):
+                return False
+            raise
+        return True
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
@@ -114,42 +136,71 @@ class HistoryStore:
         folder = f"{self.path}/data-{uuid.uuid4().hex}"
         out = df.withColumn("_bucket", self._bucket())
         out.repartition("_bucket", F.year("valid_from")).write.partitionBy("_bucket").parquet(folder)
-        found = self.spark.read.parquet(folder).select("_bucket").distinct().collect()  # at most self.buckets rows
-        return {str(r[0]): f"{folder}/_bucket={r[0]}" for r in found}
+        jvm, conf, path = self._hadoop()
+        names = (f.getPath().getName() for f in path(folder).getFileSystem(conf).listStatus(path(folder)))
+        return {n.split("=")[1]: f"{folder}/{n}" for n in names if n.startswith("_bucket=")}
 
     def read(self) -> DataFrame | None:
         """The current history, or None before the first write."""
-        folders = sorted(set(self._manifest().values()))
+        folders = sorted(set(self._manifest()[1].values()))
         return self.spark.read.parquet(*folders) if folders else None
 
     def create(self, history: DataFrame) -> None:
-        self._publish(self._write(history))
+        """The first history, in place of whatever is there."""
+        written = self._write(history)
+        while not self._publish(self._manifest()[0] + 1, written):
+            pass
 
     def update(self, raw: DataFrame, updates: DataFrame, at: str, loaded: str, attrs: Sequence[str], tie: Sequence[str] = (), chunk: str = "month") -> None:
-        """Rebuilds the chains of the entities in ``updates`` and replaces them in one step."""
-        manifest = self._manifest()
-        hit = updates.where(F.col(self.key).isNotNull()).select(self._bucket().alias("b")).distinct().collect()
+        """Rebuilds the chains of the entities in ``updates`` from ``raw`` and replaces them in one step."""
+        hit = updates.where(F.col(self.key).isNotNull()).select(self._bucket().alias("b")).distinct().collect()  # at most self.buckets rows
         buckets = [str(r[0]) for r in hit]
         if not buckets:
             return
-        folders = [manifest[b] for b in buckets if b in manifest]
-        mine = self._bucket().isin([int(b) for b in buckets])
-        scope = raw.where(mine)
-        if folders:
-            new = rebuild_chains(self.spark.read.parquet(*folders), scope, updates, self.key, at, loaded, attrs, tie, chunk)
-        else:
-            new = build_history(scope, self.key, at, loaded, attrs, tie, chunk)
-        written = self._write(new)
-        self._publish({k: v for k, v in manifest.items() if k not in buckets} | written)
+        number, manifest = self._manifest()
+        for _ in range(self.TRIES):
+            folders = [manifest[b] for b in buckets if b in manifest]
+            scope = raw.where(self._bucket().isin([int(b) for b in buckets])) if len(buckets) < self.buckets else raw
+            if folders:
+                new = rebuild_chains(self.spark.read.parquet(*folders), scope, updates, self.key, at, loaded, attrs, tie, chunk)
+            else:
+                new = build_history(scope, self.key, at, loaded, attrs, tie, chunk)
+            written = self._write(new)
+            while not self._publish(number + 1, {k: v for k, v in manifest.items() if k not in buckets} | written):
+                number, now = self._manifest()
+                mine = any(now.get(b) != manifest.get(b) for b in buckets)
+                manifest = now
+                if mine:
+                    break  # another update changed the same buckets: begin again from what it left
+            else:
+                return
+        raise RuntimeError(f"{self.TRIES} other updates of the same buckets were faster")
+
+    def vacuum(self, keep: int = 1) -> None:
+        """Deletes all manifests but the last ``keep``, and the folders that none of these name; no update may run meanwhile."""
+        jvm, conf, path = self._hadoop()
+        numbers = self._numbers()
+        needed = {v.split("/_bucket=")[0].rsplit("/", 1)[-1] for n in numbers[-keep:] for v in self._manifest(n)[1].values()}
+        fs = path(self.path).getFileSystem(conf)
+        for n in numbers[:-keep]:
+            fs.delete(path(f"{self.path}/manifest-{n:09}.json"), False)
+        for s in fs.listStatus(path(self.path)):
+            name = s.getPath().getName()
+            if name.startswith("data-") and name not in needed:
+                fs.delete(s.getPath(), True)
 
 
 def bible_periods(snapshots: DataFrame, late_after: str = "1 day") -> DataFrame:
     """Periods of (version, source, description) of every character.
 
-    Rows loaded within ``late_after`` of their snapshot make the first history; the rest are late or corrected
-    updates, whose characters' chains are rebuilt from all their rows.
+    Rows loaded within ``late_after`` of their snapshot make the first history of a store below the checkpoint folder;
+    the rest are late or corrected updates, whose characters' chains are rebuilt from all their rows and replaced there.
     """
+    spark = snapshots.sparkSession
     args = ("character_id", "taken_at", "loaded_at", ["version", "source", "description"], ["snapshot_id"])
     late = F.coalesce(F.col("loaded_at") > F.col("taken_at") + F.expr(f"interval {late_after}"), F.lit(True))
-    first = build_history(snapshots.where(~late), *args)
-    return rebuild_chains(first, snapshots, snapshots.where(late), *args)
+    store = HistoryStore(spark, f"{checkpoint_dir(spark)}/history-{uuid.uuid4().hex}", "character_id")
+    store.create(build_history(snapshots.where(~late), *args))
+    store.update(snapshots, snapshots.where(late), *args[1:])
+    history = store.read()
+    return history.drop("_bucket") if history is not None else build_history(snapshots, *args)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +17,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests on one machine) is a temporary
-    folder used.
+    A cluster names it in ``spark.checkpoint.dir``. Only a session in one process, as in tests, may leave that unset: it
+    gets a temporary folder, which goes when the process ends; any other session without a shared folder is an error.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,7 +28,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if now is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quire-checkpoint-"))
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="quire-checkpoint-")
+        atexit.register(shutil.rmtree, folder, True)
+        context.setCheckpointDir(folder)
         now = context.getCheckpointDir()
     return str(now)
 

@@ -33,6 +33,7 @@ class Package:
     def __init__(self, data: bytes):
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             self.entries = {i.filename: z.read(i) for i in z.infolist() if not i.is_dir() and i.file_size <= MOST_ENTRY}
+            self.unread = sorted(i.filename for i in z.infolist() if i.file_size > MOST_ENTRY)
         root = re.search(r"<rootfile\b[^>]*>", self.text("META-INF/container.xml"), re.I)
         self.opf_path = _attributes(root[0]).get("full-path", "") if root else ""
         self.opf = self.text(self.opf_path)
@@ -89,6 +90,7 @@ class Package:
             "no package document": not self.opf_path, "no readable documents": not self.spine, "no title": not self.fields["title"], "no language": not self.fields["language"],
             "no identifier": not self.fields["identifier"], "no container": "META-INF/container.xml" not in self.entries,
             "no or wrong mimetype": self.text("mimetype").strip() != "application/epub+zip",
+            "entry too large to read": bool(self.unread),
         }
         warnings = {
             "not version 3": bool(self.opf) and not has(r"<package\b[^>]*\bversion=[\"']3\.", self.opf), "no navigation": not self.nav and not has(r"properties=[\"'][^\"']*\bnav\b", self.opf),
@@ -107,10 +109,14 @@ class Package:
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
     d = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").option("recursiveFileLookup", "true").load(path)
-    return d.where(F.col("length") <= MOST_PACKAGE).select("path", "content")
+    # the content of a larger package is never read; its row stays, so that it is reported
+    large = d.where(F.col("length") > MOST_PACKAGE).select("path", F.lit(None).cast("binary").alias("content"))
+    return d.where(F.col("length") <= MOST_PACKAGE).select("path", "content").unionByName(large)
 
 
-def _opened(data: bytes) -> Package | None:
+def _opened(data: bytes | None) -> Package | None:
+    if data is None:
+        return None
     try:
         return Package(data)
     except (zipfile.BadZipFile, EOFError, NotImplementedError):
@@ -139,7 +145,7 @@ def read_books(spark: SparkSession, path: str) -> DataFrame:
             for p, data in part.itertuples(index=False):
                 book = _opened(data)
                 if book is None:
-                    rows.append((p, *[None] * len(FIELDS), 0, 0, 0, 0, ["not a package"], [], 0))
+                    rows.append((p, *[None] * len(FIELDS), 0, 0, 0, 0, ["not a package" if data is not None else "package too large"], [], 0))
                     continue
                 errors, warnings = book.faults()
                 score = max(0, 100 - 20 * len(errors) - 5 * len(warnings))

@@ -26,14 +26,29 @@ def chapter_marks(offsets: DataFrame, book: str, start: str, end: str, title: st
 
 
 def rewrite(df: DataFrame, path: str) -> None:
-    """Writes a table beside its place and then moves it there; the old one goes only when the new one is whole."""
+    """Writes a table beside its place and then moves it there; the old one goes only when the new one is in its place.
+
+    If the new one can't be moved, the old one is put back and the error raised; nothing is ever deleted before.
+    """
     spark: SparkSession = df.sparkSession
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     new, old, here = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.{uuid.uuid4().hex}.tmp", f"{path}.{uuid.uuid4().hex}.old", path))
     df.write.parquet(new.toString())
     fs = here.getFileSystem(conf)
-    if fs.exists(here):
-        fs.rename(here, old)
-    fs.rename(new, here)
-    fs.delete(old, True)
+
+    def move(source, target) -> None:
+        if not fs.rename(source, target):  # says so by its result, not by an error
+            raise OSError(f"could not move {source} to {target}")
+
+    aside = fs.exists(here)
+    if aside:
+        move(here, old)
+    try:
+        move(new, here)
+    except Exception:
+        if aside:
+            move(old, here)
+        raise
+    if aside:
+        fs.delete(old, True)

@@ -34,3 +34,15 @@ def test_ensure_and_voices(spark, rows):
     assert got["LAN"] == ("1", False) and got["Mai"] == got["mai "] and got["Mai"][1] and len(got) == 3
     c = spark.createDataFrame([("b", "x", 1), ("b", "y", 9), ("b", "z", 5)], "book string, k string, importance int")
     assert rows(E.assign_voices(c, "book", "k", 2), "k", "voice") == [("x", 0), ("y", 0), ("z", 1)]
+
+
+def test_no_tag_is_cut_and_other_chunkers():
+    from quire.operators.chunks import packed_paragraphs, read_aloud
+
+    parts = chunk("<p>" + "a" * 100 + "</p><p>" + "b" * 100 + "</p>", 120, 10)
+    assert parts[0].endswith("</p>") and all(len(p) <= 120 for p in parts)
+    assert packed_paragraphs("aaa\n\nbbb\n\n" + "c" * 12 + "\n\nd", 9) == ["aaa\n\nbbb", "c" * 12, "d"]
+    assert packed_paragraphs("One. Two! Three", 9) == ["One.", "Two!", "Three"]
+    assert packed_paragraphs("", 5) == packed_paragraphs(None, 5) == [] and packed_paragraphs("ab", 5) == ["ab"]
+    assert read_aloud("  Short.  ") == ["Short."] and read_aloud(None) == read_aloud(" ") == []
+    assert read_aloud("Aa bb. " + "c" * 50 + ". Dd", 30, 5) == ["Aa bb.", "c" * 50 + ".", "Dd"]

@@ -76,3 +76,24 @@ def test_queries(spark, sf):
     con = connect(sf)
     for name, sql in ORACLES.items():
         compare(con, QUERIES[name](spark, sf), sql)
+
+
+def test_two_updates_at_once_lose_nothing(spark, tmp_path, monkeypatch):
+    """Another update is published between the reading and the publishing of one; both must be there in the end."""
+    store = HistoryStore(spark, str(tmp_path / "h"), "character_id", buckets=1)
+    store.create(build_history(table(spark, ROWS[:3] + ROWS[6:7]), *ARGS))
+    other = HistoryStore(spark, str(tmp_path / "h"), "character_id", buckets=1)
+    write, first = store._write, []
+
+    def meanwhile(df):
+        out = write(df)
+        if not first:
+            first.append(1)
+            other.update(table(spark, ROWS), table(spark, ROWS[7:8]), *ARGS[1:])
+        return out
+
+    monkeypatch.setattr(store, "_write", meanwhile)
+    store.update(table(spark, ROWS), table(spark, ROWS[3:6]), *ARGS[1:])
+    assert periods(store.read()) == WANTED
+    store.vacuum()
+    assert periods(store.read()) == WANTED and len([p for p in (tmp_path / "h").iterdir() if p.name.startswith("data-")]) == 1

@@ -84,3 +84,33 @@ def test_sidecar_texts_are_whole(spark, tmp_path):
     spark.createDataFrame([("d", "y" * 2100), (None, "z")], "chapter_id string, text string").write.parquet(str(tmp_path / "synth_requests.parquet"))
     got = {r.chapter_id: r.text for r in registry.queries()["sidecar_texts_whole"](spark, str(tmp_path)).collect()}
     assert got == {"c": "x" * 2500, "d": "y" * 2100}
+
+
+def test_a_failed_rewrite_keeps_the_table(spark, rows, tmp_path):
+    path = tmp_path / "t"
+    sinks.rewrite(spark.range(3), str(path))
+    with pytest.raises(Exception):  # noqa: B017  the plan fails before anything is moved
+        sinks.rewrite(spark.read.parquet(str(path)).select(F.raise_error(F.lit("no")).alias("x")), str(path))
+    assert rows(spark.read.parquet(str(path))) == [(0,), (1,), (2,)]
+
+
+def test_large_packages_are_reported(spark, books, monkeypatch):
+    monkeypatch.setattr(P, "MOST_PACKAGE", 100)
+    got = {r.path.rsplit("/", 1)[1]: r.errors for r in P.read_books(spark, books).collect()}
+    assert got["good.epub"] == ["package too large"] and got["broken.epub"] == ["not a package"]
+    assert P.read_chapters(spark, books).count() == 0
+
+
+def test_no_folder_of_one_machine_on_a_cluster(monkeypatch):
+    from quire.session import checkpoint_dir
+
+    class Fake:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)  # noqa: N815
+
+    class Session:
+        sparkContext = Fake()  # noqa: N815
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        checkpoint_dir(Session())
