@@ -50,6 +50,8 @@ class Cues:
     female: str = _FEMALE
     male: str = _MALE
     near: str = _NEAR
+    introduces: str = ""  # acts that introduce or follow a quotation (audiobooks only)
+    reacts: str = ""  # acts that call for a short exclamation (audiobooks only)
 
 
 #: The same for English test texts.
@@ -74,6 +76,8 @@ class Kind(IntFlag):
     MALE = 256
     NEAR = 512
     NAME = 1024
+    INTRODUCES = 2048
+    REACTS = 4096
     VERB = SPEECH | ACTION
     PRONOUN = FEMALE | MALE
 
@@ -101,7 +105,7 @@ class Lexicon:
 
     def __init__(self, cues: Cues, names: dict[str, str]):
         words: dict[str, Kind] = {}
-        for kind in (Kind.SPEECH, Kind.ACTION, Kind.OBJECT, Kind.RECIPIENT, Kind.SCENE, Kind.SILENT, Kind.WRITTEN, Kind.FEMALE, Kind.MALE, Kind.NEAR):
+        for kind in (Kind.SPEECH, Kind.ACTION, Kind.OBJECT, Kind.RECIPIENT, Kind.SCENE, Kind.SILENT, Kind.WRITTEN, Kind.FEMALE, Kind.MALE, Kind.NEAR, Kind.INTRODUCES, Kind.REACTS):
             for word in getattr(cues, kind.name.lower()).split("|"):
                 words[lower(word)] = words.get(lower(word), Kind(0)) | kind
         for alias in names:
