@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +61,86 @@ def least_score(genre: Column) -> Column:
     return F.coalesce(F.try_element_at(known, F.lower(F.trim(genre))), F.lit(LEAST_SCORE_DEFAULT))
 
 
+# What readers and shops call the genres.
+GENRE_HINTS = {
+    "tu tiên": "tu_tieu_thuyet", "tu tien": "tu_tieu_thuyet", "kiếm hiệp": "tu_tieu_thuyet", "kiem hiep": "tu_tieu_thuyet", "huyền huyễn": "tu_tieu_thuyet",
+    "huyen huyen": "tu_tieu_thuyet", "tiên hiệp": "tu_tieu_thuyet", "tien hiep": "tu_tieu_thuyet", "cultivation": "tu_tieu_thuyet", "wuxia": "tu_tieu_thuyet",
+    "xianxia": "tu_tieu_thuyet", "ngôn tình": "ngon_tinh", "ngon tinh": "ngon_tinh", "romance": "ngon_tinh", "ngọt": "ngon_tinh", "lịch sử": "lich_su", "lich su": "lich_su",
+    "cổ trang": "lich_su", "co trang": "lich_su", "cung đấu": "lich_su", "cung dau": "lich_su", "historical": "lich_su", "costume drama": "lich_su", "đô thị": "do_thi",
+    "do thi": "do_thi", "urban": "do_thi", "modern": "do_thi", "hệ thống": "game_system", "he thong": "game_system", "game": "game_system", "litrpg": "game_system",
+    "kinh dị": "kinh_di", "kinh di": "kinh_di", "horror": "kinh_di", "khoa học viễn tưởng": "khoa_hoc_vien_tuong", "sci-fi": "khoa_hoc_vien_tuong",
+    "scifi": "khoa_hoc_vien_tuong", "thanh xuân": "thieu_nien", "thanh xuan": "thieu_nien", "học đường": "thieu_nien", "hoc duong": "thieu_nien", "youth": "thieu_nien",
+}
+
+
+def genre_hint(hint: Column) -> Column:
+    """The genre that a hint names, by its own name or by what it is called; null for anything else."""
+    h = F.lower(F.trim(hint))
+    known = F.create_map(*[F.lit(x) for kv in (GENRE_HINTS | {g: g for g in set(GENRE_HINTS.values())}).items() for x in kv])
+    return F.try_element_at(known, h)
+
+
+# Sounds that a text may ask for, in order, with the words that ask for them; sounds by a model's word and by a voice's tone.
+SOUNDS = (
+    ("[cười]", "(?iu)(?<![\\p{L}\\p{N}_])(?:haha|ha ha|hehe|hihi|hê hê|cười lớn|phá lên cười|cười khanh khách|cười khúc khích|cười ha hả|cười hô hố|cười rúc rích|cười gằn|哈哈)(?![\\p{L}\\p{N}_])"
+     "|khanh khách|khúc khích|hô hố|ha hả|khẽ cười|nhếch mép cười|cười gượng|\\(\\s*(?:cười gằn|cười khổ)\\s*\\)"),
+    ("[thở dài]", "(?iu)(?<![\\p{L}\\p{N}_])(?:thở dài|thở một tiếng|thở dốc|thở phào|than thở|thở hắt ra|哀)(?![\\p{L}\\p{N}_])"
+     "|thở dài|thở dốc|thở ra một hơi|thở phào|tiếng thở dài|\\(\\s*(?:thở dài|thở một tiếng|than thở|thở phào)\\s*\\)"),
+    ("[hắng giọng]", "(?iu)(?<![\\p{L}\\p{N}_])(?:hắng giọng|hắng hắng|hắng một tiếng|khụt khịt|nghẹn lại|nghẹn ngào|sniff)(?![\\p{L}\\p{N}_])"
+     "|hắng giọng|khóc thét|khóc nức nở|khóc sụt sịt|sụt sịt|sniff sniff"),
+)
+TOLD_SOUNDS = {
+    "cheerful": "[cười]", "happy": "[cười]", "joy": "[cười]", "laugh": "[cười]", "amused": "[cười]", "sad": "[thở dài]", "sorrow": "[thở dài]", "sigh": "[thở dài]",
+    "regret": "[thở dài]", "angry": "[hắng giọng]", "rage": "[hắng giọng]", "furious": "[hắng giọng]", "shout": "[hắng giọng]", "sneer": "[hắng giọng]",
+}
+TONE_SOUNDS = {"angry": "[hắng giọng]", "sad": "[thở dài]"}
+
+
+def with_sounds(text: Column, kind: Column, tone: Column, told: Column) -> Column:
+    """A segment with the sounds it asks for: those of its own words behind it, then a model's word and, in dialogue, the
+    voice's tone before it; a segment that begins with a bracket gets neither. Other short tokens in brackets go."""
+    of = lambda table, word: F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), word)
+    bare = F.regexp_replace(text, "\\s*\\[(?:cười|thở dài|hắng giọng)\\]\\s*", " ")
+    out = text
+    for sound, words in SOUNDS:
+        out = F.when(bare.rlike(words), F.concat(out, F.lit(f" {sound} "))).otherwise(out)
+    begun = F.startswith(F.ltrim(out), F.lit("["))
+    model, voice = of(TOLD_SOUNDS, told), F.when(kind == "dialogue", of(TONE_SOUNDS, tone))
+    first = F.when(begun, out).when(model.isNotNull(), F.trim(F.concat(model, F.lit(" "), out))).when(voice.isNotNull(), F.trim(F.concat(voice, F.lit(" "), out))).otherwise(out)
+    swept = F.regexp_replace(first, "\\[(?!(?:cười|thở dài|hắng giọng)\\])[^\\[\\]\\r\\n]{1,16}\\]", "")
+    return F.when(F.contains(first, F.lit("[")), F.trim(F.regexp_replace(swept, "[ \\t]{2,}", " "))).otherwise(first)
+
+
+def safe_count(value: Column, most: int = 1_000_000) -> Column:
+    """A whole number from 0 to ``most`` out of noisy text; 0 for what is none."""
+    n = value.try_cast("double")
+    whole = F.when(n.isNull() | F.isnan(n) | (F.abs(n) > 1e18), 0).otherwise(n.cast("long"))
+    return F.greatest(F.lit(0), F.least(F.lit(most), whole)).cast("int")
+
+
+def _object_in(raw: str | None) -> str:
+    text = re.sub(r"\n?```\s*\Z", "", re.sub(r"\A```(?:json)?\s*\n?", "", (raw or "").strip()))
+    reader = json.JSONDecoder()
+    for at in [0, *(m.start() for m in re.finditer("{", text))]:
+        try:
+            found, end = reader.raw_decode(text, at)
+        except ValueError:
+            continue
+        if isinstance(found, dict) and (at or end == len(text) or text[at] == "{"):
+            return json.dumps(found, ensure_ascii=False, sort_keys=True)
+    return "{}"
+
+
+def json_anywhere(text: Column) -> Column:
+    """The first JSON object in a text, fences or words around it or not, with sorted keys; '{}' where there is none."""
+
+    @F.pandas_udf("string")
+    def run(part: pd.Series) -> pd.Series:
+        return part.map(_object_in)
+
+    return run(text)
+
+
 def genre_scores(docs: DataFrame, text: str, key: str, keywords: Mapping[str, Mapping[str, Sequence[str]]]) -> DataFrame:
     """(key, genre, score, confidence): strong words count 3, words 2, hints 0.5; 'unknown' under a score of 1.
 

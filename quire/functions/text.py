@@ -144,6 +144,53 @@ def fragment_fault(html: Column) -> Column:
     )
 
 
+# Titles of chapters that are no story.
+NO_STORY = (
+    "cover|bìa|trang bìa", "mục lục|table of contents", "lời mở đầu|lời giới thiệu|lời tựa|lời nói đầu|lời dẫn|prologue|foreword|preface", "giới thiệu|introduction",
+    "tác giả|author|about the author|về tác giả", "bản quyền|copyright|copy right", "lời cảm ơn|acknowledg(?:e|ment)s", "phụ lục|appendix", "chương\\s*0|chapter\\s*0",
+)
+
+
+def no_story(title: Column, html: Column, least: int = 200) -> Column:
+    """Why a chapter is skipped before any model is asked: 'too short', 'title', or null."""
+    size = F.length(collapse(F.regexp_replace(html, "<[^>]+>", " ")))
+    return F.when(size < least, "too short").when(F.trim(title).rlike(f"(?iu)^(?:{'|'.join(NO_STORY)})$"), "title")
+
+
+def block_text(html: Column) -> Column:
+    """Text of a page with a line end at every block; entities decoded, blanks collapsed, at most one empty line."""
+    t = F.regexp_replace(html, "(?is)<(?:script|style|head)\\b[^>]*>.*?</(?:script|style|head)>", " ")
+    blocks = "address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul"
+    t = decode(F.regexp_replace(F.regexp_replace(t, f"(?i)</?(?:{blocks})\\b[^>]*>", "\n"), "<[^>]+>", " "))
+    t = F.regexp_replace(F.regexp_replace(t, "\\r\\n?", "\n"), SPACE.replace("\\n", "").replace("\\r", "") + "+", " ")
+    return trimmed(F.regexp_replace(F.regexp_replace(t, " *\\n *", "\n"), "\\n\\s*\\n+", "\n\n"))
+
+
+def sidecar_text(html: Column) -> Column:
+    """Text of a page with a line end where a block closes; other tags leave nothing, six entities are decoded."""
+    t = F.regexp_replace(html, "(?is)<script.*?</script>|<style.*?</style>|<head.*?</head>", " ")
+    t = decode(F.regexp_replace(F.regexp_replace(t, "(?i)</(?:p|div|section|h[1-6]|li|br)>", "\n"), "<[^>]+>", ""))
+    return trimmed(F.regexp_replace(F.regexp_replace(t, "[ \\t]+\\n", "\n"), "\\n{3,}", "\n\n"))
+
+
+def lines_with_places(text: Column) -> Column:
+    """Lines as array of (start, end, text) without blanks at their ends; of a long single line (over 1,500 signs) its sentences of up to 400."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
+
+    def placed(parts: Column, gap: int) -> Column:
+        def step(acc, raw):
+            kept = trimmed(raw)
+            start = acc["at"] + F.length(raw) - F.length(F.regexp_replace(raw, f"^{SPACE}+", ""))
+            row = F.struct(start.alias("start"), (start + F.length(kept)).alias("end"), kept.alias("text"))
+            return F.struct((acc["at"] + F.length(raw) + gap).alias("at"), F.when(kept == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(row))).alias("out"))
+
+        return F.aggregate(parts, zero, step, lambda acc: acc["out"])
+
+    lines = placed(F.split(text, "\n"), 1)
+    pieces = F.regexp_extract_all(text, F.lit("(?s)[^.!?\\n]{1,400}[.!?…\"]+\\s+|.[^.!?\\n]*"), F.lit(0))
+    return F.when((F.size(lines) <= 1) & (F.length(text) > 1500), placed(pieces, 0)).otherwise(lines)
+
+
 def skip_reason(title: Column, text: Column, patterns: Sequence[str], least: int = 200) -> Column:
     """Why a chapter is no story, or null: its title, or too little text."""
     out = F.when(F.length(F.trim(text)) < least, "too short")

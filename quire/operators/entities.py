@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,6 +132,43 @@ def rewire_edges(edges: DataFrame, moves: DataFrame) -> DataFrame:
     return d.where("from_id <> to_id").dropDuplicates(["from_id", "to_id", "relationship"])
 
 
+def upsert_relationships(old: DataFrame, new: DataFrame, force: bool = False) -> DataFrame:
+    """Relationships after new ones: (book_id, from_id, to_id, relationship, chapter, notes, source, updated, reason).
+
+    One that the user wrote is locked: a new one of another source leaves it as it is, unless ``force``. Of repeated new
+    ones the user's own counts, then the greatest chapter and notes; null keys are equal to null.
+    """
+    keys = ["book_id", "from_id", "to_id", "relationship"]
+    fields = ["chapter", "notes", "source"]
+    source = F.coalesce("source", F.lit("llm"))
+    n = new.withColumn("source", source).groupBy(*keys).agg(F.max(F.struct((F.col("source") == USER).alias("mine"), *fields)).alias("n"))
+    a, b = old.select(*keys, F.struct(*fields).alias("o")).alias("a"), n.alias("b")
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
+    d = a.join(b, same, "full").select(*[F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys], "o", "n")
+    locked = (F.col("o.source") == USER) & (F.col("n.source") != USER) & F.lit(not force)
+    locked = F.coalesce(locked, F.lit(False))
+    taken = F.col("n").isNotNull() & ~locked
+    return d.select(*keys, *[F.when(taken, F.col(f"n.{f}")).otherwise(F.col(f"o.{f}")).alias(f) for f in fields], taken.alias("updated"), F.when(locked, "locked by the user").alias("reason"))
+
+
+def merge_profiles(profiles: DataFrame, moves: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Profiles (character_id, fields, source) after merges: the survivor's empty fields are filled from the absorbed.
+
+    A merge in which the user wrote both profiles and they differ in a field is refused: its absorbed profile stays,
+    with ``refused`` true. Of several absorbed profiles the one with the least id fills first.
+    """
+    m = moves.where("absorbed_id is not null and survivor_id is not null and absorbed_id <> survivor_id").groupBy("absorbed_id").agg(F.min("survivor_id").alias("_to"))
+    own = profiles.select(F.col("character_id").alias("_to"), F.struct(*fields, "source").alias("own"))
+    gone = profiles.join(m, profiles["character_id"] == m["absorbed_id"]).drop("absorbed_id").join(own, "_to")
+    differ = reduce(lambda x, y: x | y, [F.coalesce(F.col(f) != F.col(f"own.{f}"), F.lit(False)) for f in fields])
+    gone = gone.withColumn("refused", (F.col("source") == USER) & (F.col("own.source") == USER) & differ)
+    filled = gone.where("not refused").groupBy(F.col("_to").alias("character_id")).agg(*[F.min_by(F.col(f), F.when(F.col(f).isNotNull(), F.col("character_id"))).alias(f"_{f}") for f in fields])
+    left = gone.where("not refused").select("character_id")
+    refused = gone.where("refused").select("character_id", "refused")
+    d = profiles.join(left, "character_id", "left_anti").join(filled, "character_id", "left").join(refused, "character_id", "left")
+    return d.select("character_id", *[F.coalesce(f, f"_{f}").alias(f) for f in fields], "source", F.coalesce("refused", F.lit(False)).alias("refused"))
+
+
 def split_aliases(aliases: DataFrame, source_id: str, new_id: str, moved: Sequence[str]) -> DataFrame:
     """Aliases after some of one entity went to a new one; they count as written by the user from then on."""
     keys = [m.strip().lower() for m in moved]

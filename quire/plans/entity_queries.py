@@ -23,11 +23,9 @@ def query(sql: str | None = None):
     return add
 
 
-_CANON = lambda x: rf"trim(regexp_replace(regexp_replace(lower(strip_accents(replace(replace({x}, 'đ', 'd'), 'Đ', 'D'))), '[^a-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+_CANON = N.canonical_sql
 _SP = r"[\t\n\x0B\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 _KEY = lambda x: f"lower(trim(regexp_replace({x}, '{_SP}+', ' ', 'g')))"
-_LATIN = "^[A-Za-zÀ-ɏḀ-ỿ ,._-]*$"
-_SQL_LATIN = "regexp_full_match(name, '[A-Za-zÀ-ɏḀ-ỿ ,._-]*')"
 _MOVES = "(select absorbed_id, min(survivor_id) as t from merge_requests where absorbed_id is not null and survivor_id is not null and absorbed_id <> survivor_id group by 1)"
 
 
@@ -35,34 +33,6 @@ def _moves(spark, sf):
     return read_table(spark, sf, "merge_requests").select("absorbed_id", "survivor_id")
 
 
-@query(f"""with r as (select distinct character_id, book_id, {_CANON("name")} as c from characters where {_SQL_LATIN}), k as (select *, nullif(regexp_replace(c, '[\\s-]+', '', 'g'), '') as k0 from r),
-q as (select *, case when length(k0) >= 2 then k0 end as k from k), m as (select book_id, k, min(character_id) as cluster from q where k is not null group by 1, 2)
-select q.book_id, q.character_id, coalesce(m.cluster, q.character_id) as cluster from q left join m on m.book_id = q.book_id and m.k = q.k""")
-def name_clusters(spark, sf):
-    d = read_table(spark, sf, "characters").where(F.col("name").rlike(_LATIN)).select("character_id", "book_id", "name").distinct()
-    return E.clusters(d, "book_id", "character_id", "name")
-
-
-@query(f"""with r as (select distinct character_id, book_id, {_CANON("name")} as c from characters where {_SQL_LATIN}), e as (select distinct book_id, character_id, unnest(list_filter(string_split(c, ' '), lambda x: x <> '')) as w from r),
-n as (select book_id, character_id, count(*) as n from e group by all), s as (select a.book_id, a.character_id as small, b.character_id as large, count(*) as s from e a join e b on a.book_id = b.book_id and a.w = b.w group by all)
-select s.book_id, s.small, s.large from s join n x on x.book_id = s.book_id and x.character_id = s.small join n y on y.book_id = s.book_id and y.character_id = s.large where x.n >= 2 and x.n < y.n and s.s = x.n""")
-def word_subset_names(spark, sf):
-    d = read_table(spark, sf, "characters").where(F.col("name").rlike(_LATIN)).groupBy("character_id", "book_id").agg(F.min("name").alias("name"))
-    return E.word_subsets(d, "book_id", "character_id", "name")
-
-
-@query(f"""with r as (select distinct book_id, character_id, name, aliases, role from characters where {_SQL_LATIN}), c as (select *, {_CANON("name")} as c from r),
-k as (select *, case when length(regexp_replace(c, '[\\s-]+', '', 'g')) >= 2 then regexp_replace(c, '[\\s-]+', '', 'g') end as k from c where c <> ''),
-b as (select book_id, k, arg_max(name, ((case when lower(strip_accents(replace(replace(name, 'đ', 'd'), 'Đ', 'D'))) <> lower(name) then 1 else 0 end), coalesce(len(aliases), 0), length(name), name)) as name,
-max(len(aliases)) as lines, count(*) as members from k where k is not null group by 1, 2) select book_id, k, name, lines, members from b""")
-def cluster_representatives(spark, sf):
-    """The best spelling of each cluster, by accents, number of aliases and length."""
-    d = read_table(spark, sf, "characters").where(F.col("name").rlike(_LATIN)).select("book_id", "character_id", "name", "aliases", "role").distinct()
-    d = d.withColumns({"k": N.loose(F.col("name")), "lines": F.when(F.col("aliases").isNotNull(), F.size("aliases"))}).where("k is not null")
-    best = E.representatives(d, ["book_id", "k"], "name", "aliases", "lines").drop("aliases")
-    return best.join(d.groupBy("book_id", "k").agg(F.count(F.lit(1)).alias("members")), ["book_id", "k"])
-
-
 @query(f"""with r as (select distinct book_id, character_id, name from characters), k as (select book_id, {_KEY('name')} as k, min(character_id) as n from r where name is not null group by 1, 2),
 a as (select {_KEY('alias')} as k, min(character_id) as a from (select character_id, unnest(aliases) as alias from characters) where alias is not null group by 1),
 g as (select k, min(n) as n from k group by 1), i as (select distinct input_id, name from character_inputs)
@@ -199,19 +169,25 @@ def nearest_known(spark, sf):
     return p.select("para_id", F.coalesce("lang", F.last("lang", True).over(w.rowsBetween(-3, -1)), F.first("lang", True).over(w.rowsBetween(1, 3))).alias("lang"))
 
 
-# The queries above hold for names whose letters DuckDB folds alike; these hold for every row, and have no SQL.
-@query()
+@query(f"""with r as (select distinct character_id, book_id, {_CANON("name")} as c from characters), k as (select *, nullif(regexp_replace(c, '[\\s-]+', '', 'g'), '') as k0 from r),
+q as (select *, case when length(k0) >= 2 then k0 end as k from k), m as (select book_id, k, min(character_id) as cluster from q where k is not null group by 1, 2)
+select q.book_id, q.character_id, coalesce(m.cluster, q.character_id) as cluster from q left join m on m.book_id = q.book_id and m.k = q.k""")
 def name_clusters_all(spark, sf):
     return E.clusters(read_table(spark, sf, "characters").select("character_id", "book_id", "name").distinct(), "book_id", "character_id", "name")
 
 
-@query()
+@query(f"""with r as (select distinct character_id, book_id, {_CANON("name")} as c from characters), e as (select distinct book_id, character_id, unnest(list_filter(string_split(c, ' '), lambda x: x <> '')) as w from r),
+n as (select book_id, character_id, count(*) as n from e group by all), s as (select a.book_id, a.character_id as small, b.character_id as large, count(*) as s from e a join e b on a.book_id = b.book_id and a.w = b.w group by all)
+select s.book_id, s.small, s.large from s join n x on x.book_id = s.book_id and x.character_id = s.small join n y on y.book_id = s.book_id and y.character_id = s.large where x.n >= 2 and x.n < y.n and s.s = x.n""")
 def word_subset_names_all(spark, sf):
     d = read_table(spark, sf, "characters").groupBy("character_id", "book_id").agg(F.min("name").alias("name"))
     return E.word_subsets(d, "book_id", "character_id", "name")
 
 
-@query()
+@query(f"""with r as (select distinct book_id, character_id, name, aliases, role from characters), c as (select *, {_CANON('name')} as c from r),
+k as (select *, case when length(regexp_replace(c, '[\\s-]+', '', 'g')) >= 2 then regexp_replace(c, '[\\s-]+', '', 'g') end as k from c),
+g as (select *, case when k is null then character_id end as record from k)
+select book_id, k, record, arg_max(name, ((case when lower({N.fold_sql('name')}) <> lower(name) then 1 else 0 end), coalesce(len(aliases), 0), length(name), name)) as name, max(len(aliases)) as lines, count(*) as members from g group by 1, 2, 3""")
 def cluster_representatives_all(spark, sf):
     """``cluster_representatives`` of all names; one without key is a cluster of its own (k null, found by its record)."""
     d = read_table(spark, sf, "characters").select("book_id", "character_id", "name", "aliases", "role").distinct()

@@ -83,19 +83,9 @@ def chapter_marks(spark, sf):
 
 
 @query("""with p as (select distinct book_id, chapter_id, text from paragraphs where chapter_id is not null), s as (select chapter_id, max(text) as t from synth_requests where chapter_id is not null group by 1),
-c as (select distinct chapter_id, html from chapters) select c.chapter_id, left(coalesce(s.t, c.html), 2000) as text from c left join s using (chapter_id)""")
-def sidecar_texts(spark, sf):
-    """The prepared text of a chapter where there is one, else its own, cut at a length."""
-    from quire.sources.packages import with_sidecar
-
-    c = read_table(spark, sf, "chapters").select(F.col("chapter_id").alias("book_id"), F.lit(0).alias("idx"), F.col("html").alias("text")).distinct()
-    s = read_table(spark, sf, "synth_requests").where("chapter_id is not null").select(F.col("chapter_id").alias("book_id"), F.lit(0).alias("idx"), "text")
-    return with_sidecar(c, s, 2000).select(F.col("book_id").alias("chapter_id"), "text")
-
-
-@query()
+c as (select distinct chapter_id, html from chapters) select c.chapter_id, left(coalesce(s.t, c.html), 200000) as text from c left join s using (chapter_id)""")
 def sidecar_texts_whole(spark, sf):
-    """``sidecar_texts`` under the operator's own cap of 200,000; the SQL of that query holds for 2,000."""
+    """The prepared text of a chapter where there is one, else its own, under the cap of 200,000."""
     from quire.sources.packages import with_sidecar
 
     c = read_table(spark, sf, "chapters").select(F.col("chapter_id").alias("book_id"), F.lit(0).alias("idx"), F.col("html").alias("text")).distinct()

@@ -210,19 +210,6 @@ def newest_per_source(spark, sf):
     return R.top_per_group(read_table(spark, sf, "documents").where("source is not null"), ["source"], [F.desc("captured_at"), F.asc("doc_id")], 6).select("doc_id", "source", "rank")
 
 
-@query(r"""select character_id, lower(strip_accents(replace(replace(name, 'đ', 'd'), 'Đ', 'D'))) as folded from (select distinct character_id, name from characters) where regexp_full_match(name, '[A-Za-zÀ-ɏḀ-ỿ ]*')""")
-def name_folded(spark, sf):
-    d = read_table(spark, sf, "characters").select("character_id", "name").distinct().where(F.col("name").rlike("^[A-Za-zÀ-ɏḀ-ỿ ]*$"))
-    return d.select("character_id", F.lower(N.fold(F.col("name"))).alias("folded"))
-
-
-@query(r"""with c as (select distinct character_id, book_id, trim(regexp_replace(regexp_replace(lower(strip_accents(replace(replace(name, 'đ', 'd'), 'Đ', 'D'))), '[^a-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g')) as canon
-from characters where regexp_full_match(name, '[A-Za-zÀ-ɏḀ-ỿ ,._-]*')) select book_id, canon, count(*) as records from c where canon <> '' group by 1, 2""")
-def name_canonical(spark, sf):
-    d = read_table(spark, sf, "characters").where(F.col("name").rlike("^[A-Za-zÀ-ɏḀ-ỿ ,._-]*$")).select("character_id", "book_id", N.canonical(F.col("name")).alias("canon")).distinct()
-    return d.where("canon <> ''").groupBy("book_id", "canon").agg(F.count(F.lit(1)).alias("records"))
-
-
 @query("""with r as (select distinct character_id, name, aliases from characters), a as (select character_id, name, len(aliases) as n, unnest(list_distinct(aliases)) as alias from r),
 s as (select *, case when coalesce(name, '') = '' or coalesce(alias, '') = '' then 0 when lower(trim(name)) = lower(trim(alias)) then 1.0
 else round(greatest(0, least(1, (0.6 + least(0.2, length(alias) % 5 * 0.05)) * case when n > 3 then pow(0.85, n - 3) else 1 end)), 2) end as score from a)
@@ -247,28 +234,21 @@ def picked_roles(spark, sf):
     return read_table(spark, sf, "characters").select("character_id", "role", "aliases").distinct().select("character_id", N.role_by_aliases(F.col("role"), F.col("aliases")).alias("role"))
 
 
-@query(r"""with w as (select doc_id, list_distinct(list_filter(string_split(lower(regexp_replace(title, '[^A-Za-z0-9_ ]', ' ', 'g')), ' '), lambda x: x <> '')) as a,
-list_distinct(list_filter(string_split(lower(regexp_replace(source, '[^A-Za-z0-9_ ]', ' ', 'g')), ' '), lambda x: x <> '')) as b from documents where regexp_full_match(coalesce(title, ''), '[ -~]*'))
-select doc_id, case when len(list_distinct(list_concat(a, b))) > 0 then len(list_intersect(a, b))::double / len(list_distinct(list_concat(a, b))) else 0 end as jaccard from w where a is not null and b is not null""")
-def word_jaccard(spark, sf):
-    d = read_table(spark, sf, "documents").where(F.col("title").rlike("^[ -~]*$") & F.col("source").isNotNull())
-    return d.select("doc_id", N.word_jaccard(F.col("title"), F.col("source")).alias("jaccard"))
-
-
-# name_folded, name_canonical and word_jaccard hold for the rows that DuckDB folds alike; these hold for every row, and have no SQL.
-@query()
+@query(f"select character_id, lower({N.fold_sql('name')}) as folded from (select distinct character_id, name from characters)")
 def name_folded_all(spark, sf):
     d = read_table(spark, sf, "characters").select("character_id", "name").distinct()
     return d.select("character_id", F.lower(N.fold(F.col("name"))).alias("folded"))
 
 
-@query()
+@query(f"""with c as (select distinct character_id, book_id, {N.canonical_sql('name')} as canon from characters)
+select book_id, canon, count(*) as records from c where canon <> '' group by 1, 2""")
 def name_canonical_all(spark, sf):
     d = read_table(spark, sf, "characters").select("character_id", "book_id", N.canonical(F.col("name")).alias("canon")).distinct()
     return d.where("canon <> ''").groupBy("book_id", "canon").agg(F.count(F.lit(1)).alias("records"))
 
 
-@query()
+@query(f"""with w as (select doc_id, list_distinct(list_filter(string_split({N.canonical_sql('title')}, ' '), lambda x: x <> '')) as a, list_distinct(list_filter(string_split({N.canonical_sql('source')}, ' '), lambda x: x <> '')) as b from documents)
+select doc_id, case when a is null or b is null or len(list_distinct(list_concat(a, b))) = 0 then 0 else len(list_intersect(a, b))::double / len(list_distinct(list_concat(a, b))) end as jaccard from w""")
 def word_jaccard_all(spark, sf):
     return read_table(spark, sf, "documents").select("doc_id", N.word_jaccard(F.col("title"), F.col("source")).alias("jaccard"))
 
