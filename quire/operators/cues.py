@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from enum import IntFlag
 
 import ahocorasick
+import regex
 
 # Words of the Vietnamese cues. A Cues object takes those of another language.
 _SPEECH = (
@@ -90,6 +91,10 @@ class Event:
     name: str | None = None
 
 
+#: Scripts whose words no space parts.
+UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
+
+
 def _part_of_word(c: str) -> bool:
     return c.isalnum() or c == "_" or bool(c and unicodedata.combining(c))
 
@@ -176,7 +181,9 @@ class Reading:
         return next((e.start for e in self.of(kind, start, end)), len(self.text) + 1)
 
     def free(self, e: Event, left: bool = True, right: bool = True) -> bool:
-        """Whether no sign of a word touches the event on the sides asked for."""
+        """Whether no sign of a word touches the event on the sides asked for; scripts without spaces have no such sides."""
+        if UNSPACED.search(self.text, e.start, e.end):
+            return True
         return not (left and _part_of_word(self.text[e.start - 1 : e.start])) and not (right and _part_of_word(self.text[e.end : e.end + 1]))
 
     def spaced(self, kind: Kind, start: int, end: int) -> bool:

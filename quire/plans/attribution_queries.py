@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import attribution as A
+from quire.operators import narration as R
 from quire.session import read_table
 
 QUERIES: dict = {}
@@ -32,27 +33,52 @@ def _roster(spark, sf):
 
 
 def _texts(spark, sf):
-    return read_table(spark, sf, "paragraphs").select("chapter_id", "book_id", "para_index", "text")
+    return read_table(spark, sf, "paragraphs").select("chapter_id", "book_id", "para_index", "text", "lang")
+
+
+def _attributed(spark, sf, dialect: str = "reader"):
+    """Speakers of all paragraphs: chapters whose labels are mostly English by the English cues, all others by the Vietnamese ones."""
+    p = _texts(spark, sf)
+    english = F.count_if(F.lower("lang").startswith("en")) * 2 >= F.count(F.lit(1))
+    lang = p.where("chapter_id is not null").groupBy("chapter_id").agg(english.alias("english")).withColumnRenamed("chapter_id", "c")
+    p = p.join(lang, F.col("chapter_id") == F.col("c"))
+    roster = _roster(spark, sf)
+    parts = [A.attribute(p.where("english" if e else "not english"), roster, A.ENGLISH if e else A.Cues(), dialect=dialect) for e in (True, False)]
+    return parts[0].unionByName(parts[1])
 
 
 @query()
 def attribution_fold(spark: SparkSession, sf: str) -> DataFrame:
-    d = A.attribute(_texts(spark, sf), _roster(spark, sf), A.ENGLISH)
+    d = _attributed(spark, sf)
     return d.select("chapter_id", "para_index", "speaker", F.round("confidence", 4).alias("confidence"), "source", F.size("evidence").alias("evidence"), "scene")
 
 
+@query()
+def attribution_second(spark, sf):
+    """The second dialect over the same paragraphs."""
+    d = _attributed(spark, sf, "second")
+    return d.select("chapter_id", "para_index", "speaker", F.round("confidence", 4).alias("confidence"), "source")
+
+
 @query()
 def attribution_stats(spark, sf):
-    return A.attribution_stats(_texts(spark, sf), A.attribute(_texts(spark, sf), _roster(spark, sf), A.ENGLISH))
+    return A.attribution_stats(_texts(spark, sf), _attributed(spark, sf))
 
 
 @query()
 def attribution_evidence(spark, sf):
     """How much each kind of evidence contributes."""
-    d = A.attribute(_texts(spark, sf), _roster(spark, sf), A.ENGLISH).select(F.explode("evidence").alias("e"))
+    d = _attributed(spark, sf).select(F.explode("evidence").alias("e"))
     return d.groupBy("e.kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("e.weight"), 3).alias("weight"))
 
 
+@query()
+def segments(spark, sf):
+    """Every chapter as it is read aloud, quotation by quotation."""
+    c = read_table(spark, sf, "chapters").select("chapter_id", "book_id", T.block_text(F.col("html")).alias("text"))
+    return R.segments(c, _roster(spark, sf))
+
+
 @query("""with p as (select distinct para_id, chapter_id, para_index, text from paragraphs where chapter_id is not null and text is not null),
 f as (select *, case when row_number() over w > 1 and not regexp_matches(text, '["“”‘「『]') and (length(trim(text, ' ')) > 950 or regexp_matches(lower(text), '(?:^|\\s)(?:a year later|that morning|at dusk)[\\s,.]')) then 1 else 0 end as b from p window w as (partition by chapter_id order by para_index, para_id))
 select para_id, sum(b) over (partition by chapter_id order by para_index, para_id rows unbounded preceding) as scene from f""")
@@ -65,47 +91,33 @@ def scene_segments(spark, sf):
     return p.select("para_id", F.sum("b").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("scene"))
 
 
-@query("""with p as (select distinct para_id, chapter_id, para_index, text from paragraphs where chapter_id is not null), s as (select *, nullif(regexp_extract(text, '” (?:said|asked|called) (\\w+)', 1), '') as who from p),
-t as (select *, lag(who) over w as b1, lag(who, 2) over w as b2 from s where who is not null window w as (partition by chapter_id order by para_index, para_id))
-select para_id, who, coalesce(b1 <> b2, false) as alternating from t""")
+@query()
 def alternation(spark, sf):
-    """Whether the last two named speakers before a turn differ."""
-    w = Window.partitionBy("chapter_id").orderBy("para_index", "para_id")
-    p = read_table(spark, sf, "paragraphs").select("para_id", "chapter_id", "para_index", "text").distinct().where("chapter_id is not null")
-    s = p.withColumn("who", F.nullif(F.regexp_extract("text", "” (?:said|asked|called) (\\w+)", 1), F.lit(""))).where("who is not null")
-    return s.select("para_id", "who", F.coalesce(F.lag("who").over(w) != F.lag("who", 2).over(w), F.lit(False)).alias("alternating"))
+    """Whether the last two speakers before a turn differ."""
+    w = Window.partitionBy("chapter_id").orderBy("para_index")
+    d = _attributed(spark, sf).where("speaker is not null").select("chapter_id", "para_index", "speaker")
+    return d.withColumn("alternating", F.coalesce(F.lag("speaker").over(w) != F.lag("speaker", 2).over(w), F.lit(False)))
 
 
-@query("""with p as (select distinct para_id, chapter_id, para_index, text from paragraphs where chapter_id is not null), s as (select *, nullif(regexp_extract(text, '” (?:said|asked|called) (\\w+)', 1), '') as who,
-regexp_matches(text, '[“‘"]') as quoted from p)
-select para_id, coalesce(who, case when quoted then last_value(who ignore nulls) over (partition by chapter_id order by para_index, para_id rows between 6 preceding and 1 preceding) end, 'narrator') as speaker from s""")
+@query()
 def voice_plan(spark, sf):
-    """A voice for every paragraph: the named speaker, else the last one within six paragraphs, else the narrator."""
-    w = Window.partitionBy("chapter_id").orderBy("para_index", "para_id").rowsBetween(-6, -1)
-    p = read_table(spark, sf, "paragraphs").select("para_id", "chapter_id", "para_index", "text").distinct().where("chapter_id is not null")
-    s = p.withColumns({"who": F.nullif(F.regexp_extract("text", "” (?:said|asked|called) (\\w+)", 1), F.lit("")), "quoted": F.col("text").rlike("[“‘\"]")})
-    return s.select("para_id", F.coalesce("who", F.when(F.col("quoted"), F.last("who", True).over(w)), F.lit("narrator")).alias("speaker"))
+    """A character or the narrator for every sentence."""
+    return R.voice_plan(_texts(spark, sf), _attributed(spark, sf), _roster(spark, sf))
 
 
-@query("""with p as (select distinct para_id, chapter_id, para_index, text from paragraphs where chapter_id is not null), s as (select chapter_id, nullif(regexp_extract(text, '” (?:said|asked|called) (\\w+)', 1), '') as who, regexp_matches(text, '[“‘"]') as quoted from p)
-select coalesce(who, 'narrator') as speaker, count(*) as paragraphs, count(*) filter (quoted) as quoted, count(distinct chapter_id) as chapters from s group by 1""")
+@query()
 def speaker_summary(spark, sf):
-    p = read_table(spark, sf, "paragraphs").select("para_id", "chapter_id", "para_index", "text").distinct().where("chapter_id is not null")
-    who = F.nullif(F.regexp_extract("text", "” (?:said|asked|called) (\\w+)", 1), F.lit(""))
-    d = p.select("chapter_id", F.coalesce(who, F.lit("narrator")).alias("speaker"), F.col("text").rlike("[“‘\"]").alias("quoted"))
-    return d.groupBy("speaker").agg(F.count(F.lit(1)).alias("paragraphs"), F.count_if("quoted").alias("quoted"), F.countDistinct("chapter_id").alias("chapters"))
+    """Per speaker of the plan: paragraphs, sentences spoken, and the chapters they stand in."""
+    p = voice_plan(spark, sf).withColumn("speaker", F.coalesce("speaker", F.lit("narrator")))
+    d = p.groupBy("speaker", "chapter_id", "para").agg(F.count(F.lit(1)).alias("sentences"))
+    return d.groupBy("speaker").agg(F.count(F.lit(1)).alias("paragraphs"), F.sum("sentences").alias("sentences"), F.count_distinct("chapter_id").alias("chapters"))
 
 
 @query()
 def quoted_characters(spark, sf):
-    """Paragraphs and the characters of their book that they name, through one pattern of word sequences and an equi join."""
-    p = read_table(spark, sf, "paragraphs").select("para_id", "book_id", "text").distinct()
-    words = F.split(F.regexp_replace("text", "[^\\p{L}\\p{M}\\p{N} ]", " "), " +")
-    p = p.withColumn("w", words)
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))
-    g = p.select("para_id", "book_id", F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("k"))
-    c = _roster(spark, sf).select("book_id", F.regexp_replace("name", " +", " ").alias("k")).distinct()
-    return g.join(c, ["book_id", "k"]).select("para_id", F.col("k").alias("name")).distinct()
+    """Paragraphs and the characters of their book that they name, names of any length and script; one scan per paragraph."""
+    p = read_table(spark, sf, "paragraphs").select("para_id", "book_id", "text").distinct().where("text is not null")
+    return A.named_characters(p, _roster(spark, sf))
 
 
 @query()

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.plans import attribution_queries, catalog_queries, entity_queries, history_queries, job_queries, text_queries
+from quire.plans import attribution_queries, case_queries, catalog_queries, entity_queries, history_queries, job_queries, text_queries
 
-_MODULES = [history_queries, catalog_queries, text_queries, entity_queries, attribution_queries, job_queries]
+_MODULES = [history_queries, catalog_queries, text_queries, entity_queries, attribution_queries, job_queries, case_queries]
 FLAGSHIP = text_queries.boilerplate_phrases
 
 
