@@ -35,6 +35,7 @@ _TO = {
 }
 _TOKEN = re.compile("[^\\W\\d_]+(?:[\\u0300-\\u036f]+[^\\W\\d_]*)*")
 _PLAIN = re.compile("[\\n -~\\u00c0-\\u024f\\u1e00-\\u1ef9]*")
+_FOREIGN = re.compile("[\\u0370-\\u052f\\u1f00-\\u1fff]")
 _INVISIBLE = re.compile(
     "[\\u00ad\\u034f\\u061c\\u115f\\u1160\\u17b4\\u17b5\\u180b-\\u180e\\u200b-\\u200f\\u202a-\\u202e\\u2060-\\u206f\\u3164\\ufe00-\\ufe0f\\ufeff\\uffa0]"
 )
@@ -70,6 +71,11 @@ def _counts(text: str) -> dict[str, int]:
     return n
 
 
+@functools.lru_cache(maxsize=1 << 18)
+def _in_one_script(token: str) -> bool:
+    return len(_counts(token)) == 1
+
+
 def _substituted(token: str, into: str) -> str:
     table = _TO[into]
     out = []
@@ -89,8 +95,8 @@ def repairs(text: str) -> list[tuple[str, list[str]]]:
     of which another is dominant is no case of mixed script; it is asked about only if every letter looks like one of
     the text's script.
     """
-    if _PLAIN.fullmatch(text):
-        return []
+    if not _FOREIGN.search(text) or _PLAIN.fullmatch(text):
+        return []  # no letter of a script that resembles another
     whole = _counts(text)
     if len(whole) < 2:
         return []
@@ -138,7 +144,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in b.column(0).to_pylist():
             if t:
                 found.update(_TOKEN.findall(t))
-        found = {w for w in found if len(_counts(w)) == 1}
+        found = {w for w in found if _in_one_script(w)}
         yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["word"])
 
 
@@ -181,7 +187,7 @@ def look_alike_pairs(forms: DataFrame) -> DataFrame:
     Classes whose texts are all equal are dropped before anything is joined. Rows without a book pair with none. All
     pairs of a class are the result asked for; ``consistent_forms`` gives the classes themselves.
     """
-    d = forms.where("book_id is not null").select("item_kind", "book_id", "item_id", "raw", F.md5(F.encode("form", "UTF-8")).alias("form")).distinct()
+    d = forms.where("book_id is not null").select("item_kind", "book_id", "item_id", "raw", F.md5(F.encode("form", "UTF-8")).alias("form"))
     mixed = d.groupBy("item_kind", "book_id", "form").agg(F.min("raw").alias("a"), F.max("raw").alias("b")).where("a <> b").drop("a", "b")
     d = cut(d.join(mixed, ["item_kind", "book_id", "form"], "left_semi"))
     # the differing texts of a form are paired, and only then their items: copies of one text never meet each other
