@@ -128,12 +128,16 @@ def repaired(text: str, known) -> str:
     return _TOKEN.sub(lambda m: swap.get(m[0], m[0]), text) if swap else text
 
 
+_ASKED = pa.list_(pa.struct([("made", pa.string()), ("token", pa.string())]))
+
+
 def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns before the last are kept; the last, the text, becomes its normal form, and what may be asked about it."""
     for b in batches:
         texts = [None if t is None else normal(t) for t in b.column(b.num_columns - 1).to_pylist()]
-        asked = [sorted({made for _, options in repairs(t) for made in options}) if t else [] for t in texts]
-        columns = [*b.columns[:-1], pa.array(texts, pa.string()), pa.array(asked, pa.list_(pa.string()))]
+        asked = [sorted({(made, token) for token, options in repairs(t) for made in options}) if t else [] for t in texts]
+        asked = [[{"made": made, "token": token} for made, token in a] for a in asked]
+        columns = [*b.columns[:-1], pa.array(texts, pa.string()), pa.array(asked, _ASKED)]
         yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names[:-1], "normal", "asked"])
 
 
@@ -164,12 +168,15 @@ def consistent_forms(items: DataFrame) -> DataFrame:
     """
     d = items.where(F.col("text").isNotNull()).select("item_kind", "book_id", F.col("item_id").cast("string").alias("item_id"), "text").distinct()
     d = d.select("item_kind", "book_id", "item_id", F.md5(F.encode("text", "UTF-8")).alias("raw"), "text")
-    d = d.mapInArrow(_ask, "item_kind string, book_id string, item_id string, raw string, normal string, asked array<string>")
+    d = d.mapInArrow(_ask, "item_kind string, book_id string, item_id string, raw string, normal string, asked array<struct<made:string,token:string>>")
     d = cut(d)
     asked = d.where(F.size("asked") > 0)
-    wanted = asked.select(F.explode("asked").alias("word")).distinct()
-    vocabulary = d.select("normal").mapInArrow(_words, "word string").join(wanted, "word", "left_semi").distinct()
-    told = asked.select("item_kind", "book_id", "item_id", "raw", F.explode("asked").alias("word")).join(vocabulary, "word")
+    wanted = asked.select(F.explode("asked").alias("a")).groupBy(F.col("a.made").alias("word")).agg(F.min("a.token").alias("x"), F.max("a.token").alias("y"))
+    wanted = cut(wanted)
+    vocabulary = d.select("normal").mapInArrow(_words, "word string").join(wanted, "word", "left_semi")
+    # a word that two differently mixed tokens stand for is known by that, even if no text has it pure
+    vocabulary = vocabulary.unionByName(wanted.where("x <> y").select("word")).distinct()
+    told = asked.select("item_kind", "book_id", "item_id", "raw", F.explode("asked.made").alias("word")).join(vocabulary, "word")
     # Per text the known answers: as many as it has tokens to repair.
     told = told.groupBy("item_kind", "book_id", "item_id", "raw").agg(F.collect_set("word").alias("known"))
     keys = ["item_kind", "book_id", "item_id", "raw"]

@@ -143,3 +143,11 @@ def test_hot_grams_are_split(spark, monkeypatch):
     forms = spark.createDataFrame([("b", n, False) for n in names], "book_id string, form string, weak boolean")
     got = sorted((r.a, r.b) for r in N.candidates(forms).collect())
     assert got == sorted(itertools.combinations(sorted(names), 2))
+
+
+def test_two_mixed_spellings_vouch_for_each_other(spark):
+    rows = [("name", "b", "1", "Τamselbro"), ("name", "b", "2", "Таmselbro"), ("name", "b", "3", "Lοrgwenbro")]  # Greek, Cyrillic, alone
+    d = spark.createDataFrame(rows, "item_kind string, book_id string, item_id string, text string")
+    forms = L.consistent_forms(d)
+    assert {tuple(r) for r in L.look_alike_pairs(forms).collect()} == {("name", "1", "2")}
+    assert {r.item_id: r.form for r in forms.collect()} == {"1": "Tamselbro", "2": "Tamselbro", "3": "Lοrgwenbro"}
