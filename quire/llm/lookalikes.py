@@ -117,14 +117,13 @@ def repairs(text: str) -> list[tuple[str, list[str]]]:
     return out
 
 
-def repaired(text: str, known) -> str:
-    """``text`` with every token replaced by its first repair that is ``known``."""
+def repaired(text: str, known, agreed=frozenset()) -> str:
+    """``text`` with every token replaced by its first repair that is ``known``, else by its first that is ``agreed``."""
     swap = {}
     for token, options in repairs(text):
-        for made in options:
-            if made in known:
-                swap[token] = made
-                break
+        for made in [m for m in options if m in known] or [m for m in options if m in agreed]:
+            swap[token] = made
+            break
     return _TOKEN.sub(lambda m: swap.get(m[0], m[0]), text) if swap else text
 
 
@@ -154,8 +153,8 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts, known = b.column("normal").to_pylist(), b.column("known").to_pylist()
-        made = pa.array([repaired(t, set(k)) for t, k in zip(texts, known, strict=True)], pa.string())
+        columns = (b.column(c).to_pylist() for c in ("normal", "known", "agreed"))
+        made = pa.array([repaired(t, set(k), set(a)) for t, k, a in zip(*columns, strict=True)], pa.string())
         yield pa.RecordBatch.from_arrays([b.column("item_kind"), b.column("book_id"), b.column("item_id"), b.column("raw"), made], names=["item_kind", "book_id", "item_id", "raw", "form"])
 
 
@@ -173,16 +172,16 @@ def consistent_forms(items: DataFrame) -> DataFrame:
     asked = d.where(F.size("asked") > 0)
     wanted = asked.select(F.explode("asked").alias("a")).groupBy(F.col("a.made").alias("word")).agg(F.min("a.token").alias("x"), F.max("a.token").alias("y"))
     wanted = cut(wanted)
-    vocabulary = d.select("normal").mapInArrow(_words, "word string").join(wanted, "word", "left_semi")
-    # a word that two differently mixed tokens stand for is known by that, even if no text has it pure
-    vocabulary = vocabulary.unionByName(wanted.where("x <> y").select("word")).distinct()
+    vocabulary = d.select("normal").mapInArrow(_words, "word string").join(wanted, "word", "left_semi").distinct().withColumn("pure", F.lit(True))
+    # a word that two differently mixed tokens stand for is agreed on by that, even if no text has it pure
+    vocabulary = vocabulary.unionByName(wanted.where("x <> y").select("word", F.lit(False).alias("pure"))).groupBy("word").agg(F.max("pure").alias("pure"))
     told = asked.select("item_kind", "book_id", "item_id", "raw", F.explode("asked.made").alias("word")).join(vocabulary, "word")
     # Per text the known answers: as many as it has tokens to repair.
-    told = told.groupBy("item_kind", "book_id", "item_id", "raw").agg(F.collect_set("word").alias("known"))
+    told = told.groupBy("item_kind", "book_id", "item_id", "raw").agg(F.collect_set(F.when(F.col("pure"), F.col("word"))).alias("known"), F.collect_set(F.when(~F.col("pure"), F.col("word"))).alias("agreed"))
     keys = ["item_kind", "book_id", "item_id", "raw"]
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
     fixed = asked.alias("a").join(told.alias("t"), same[0] & same[1] & same[2] & same[3], "left")
-    fixed = fixed.select(*[F.col(f"a.{k}").alias(k) for k in keys], "normal", F.coalesce("known", F.array().cast("array<string>")).alias("known"))
+    fixed = fixed.select(*[F.col(f"a.{k}").alias(k) for k in keys], "normal", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("known", "agreed")])
     fixed = fixed.mapInArrow(_settle, "item_kind string, book_id string, item_id string, raw string, form string")
     plain = d.where(F.size("asked") == 0).select(*keys, F.col("normal").alias("form"))
     return plain.unionByName(fixed)
