@@ -33,8 +33,9 @@ _TO = {
     "CYRILLIC": _LATIN_TO_CYRILLIC | {a: _LATIN_TO_CYRILLIC[b] for a, b in _GREEK_TO_LATIN.items() if b in _LATIN_TO_CYRILLIC},
     "GREEK": _LATIN_TO_GREEK | {a: _LATIN_TO_GREEK[b] for a, b in _CYRILLIC_TO_LATIN.items() if b in _LATIN_TO_GREEK},
 }
+#: Letters of one script that look alike, and the one that Vietnamese has.
+_TWINS = str.maketrans({"Ð": "Đ", "Ɖ": "Đ"})
 _TOKEN = re.compile("[^\\W\\d_]+(?:[\\u0300-\\u036f]+[^\\W\\d_]*)*")
-_PLAIN = re.compile("[\\n -~\\u00c0-\\u024f\\u1e00-\\u1ef9]*")
 _FOREIGN = re.compile("[\\u0370-\\u052f\\u1f00-\\u1fff]")
 _INVISIBLE = re.compile(
     "[\\u00ad\\u034f\\u061c\\u115f\\u1160\\u17b4\\u17b5\\u180b-\\u180e\\u200b-\\u200f\\u202a-\\u202e\\u2060-\\u206f\\u3164\\ufe00-\\ufe0f\\ufeff\\uffa0]"
@@ -95,23 +96,20 @@ def repairs(text: str) -> list[tuple[str, list[str]]]:
     of which another is dominant is no case of mixed script; it is asked about only if every letter looks like one of
     the text's script.
     """
-    if not _FOREIGN.search(text) or _PLAIN.fullmatch(text):
-        return []  # no letter of a script that resembles another
+    if not _FOREIGN.search(text):
+        return []  # no letter that resembles another
     whole = _counts(text)
-    if len(whole) < 2:
-        return []
-    main = _dominant(whole, whole)
+    main = _dominant(whole, whole) if whole else ""
     out = []
     for token in set(_TOKEN.findall(text)):
-        own = _counts(token)
-        if not own or (len(own) == 1 and main in own):
-            continue
-        scripts = ([_dominant(own, whole)] if len(own) > 1 else []) + [main] + [s for s in own if len(own) > 1]
-        options = []
-        for s in dict.fromkeys(scripts):
-            made = _substituted(token, s)
-            if made != token and len(_counts(made)) == 1 and made not in options:
-                options.append(made)
+        twin = token.translate(_TWINS)
+        own = _counts(twin)
+        if len(whole) < 2 or not own or (len(own) == 1 and main in own):
+            options = [twin] if twin != token else []
+        else:
+            scripts = ([_dominant(own, whole)] if len(own) > 1 else []) + [main] + [s for s in own if len(own) > 1]
+            made = [_substituted(twin, s) for s in dict.fromkeys(scripts)]
+            options = [m for m in dict.fromkeys(made) if m != token and len(_counts(m)) == 1]
         if options:
             out.append((token, options))
     return out

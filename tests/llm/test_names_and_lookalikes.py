@@ -151,3 +151,9 @@ def test_two_mixed_spellings_vouch_for_each_other(spark):
     forms = L.consistent_forms(d)
     assert {tuple(r) for r in L.look_alike_pairs(forms).collect()} == {("name", "1", "2")}
     assert {r.item_id: r.form for r in forms.collect()} == {"1": "Tamselbro", "2": "Tamselbro", "3": "Lοrgwenbro"}
+
+
+def test_twins_within_a_script(spark):
+    rows = [("name", "b", "1", "Ðào Mai"), ("name", "b", "2", "Đào Mai"), ("name", "b", "3", "Ðorn"), ("name", "b", "4", "đào Mai")]
+    d = spark.createDataFrame(rows, "item_kind string, book_id string, item_id string, text string")
+    assert {tuple(r) for r in L.look_alike_pairs(L.consistent_forms(d)).collect()} == {("name", "1", "2")}
