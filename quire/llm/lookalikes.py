@@ -36,7 +36,7 @@ _TO = {
 #: Letters of one script that look alike, and the one that Vietnamese has.
 _TWINS = str.maketrans({"Ð": "Đ", "Ɖ": "Đ"})
 _TOKEN = re.compile("[^\\W\\d_]+(?:[\\u0300-\\u036f]+[^\\W\\d_]*)*")
-_FOREIGN = re.compile("[\\u0370-\\u052f\\u1f00-\\u1fff]")
+_FOREIGN = re.compile("[\\u00d0\\u0189\\u0370-\\u052f\\u1f00-\\u1fff]")
 _INVISIBLE = re.compile(
     "[\\u00ad\\u034f\\u061c\\u115f\\u1160\\u17b4\\u17b5\\u180b-\\u180e\\u200b-\\u200f\\u202a-\\u202e\\u2060-\\u206f\\u3164\\ufe00-\\ufe0f\\ufeff\\uffa0]"
 )
