@@ -204,3 +204,9 @@ def test_mix_with_many_blocks_and_shards(spark, monkeypatch):
     share = {r.source: r.t for r in mixed.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
     assert share["a"] == pytest.approx(share["b"], rel=1e-3)
     assert mixed.groupBy("doc_id", "repeat").count().where("count > 1").count() == 0
+
+
+def test_endings_of_any_length(spark):
+    rows = [(1, "She left." + "”" * 300), (2, "She le" + "�" * 300), (3, "She left." + " \n" * 300), (4, "The clerk sold a map.\n" + "word " * 3000 + "and then"), (5, "word " * 3000 + "end.")]
+    d = spark.createDataFrame([(*r, "web") for r in rows], "doc_id long, text string, source string")
+    assert {r.doc_id for r in T.truncated(d).collect()} == {2, 4}
