@@ -169,6 +169,24 @@ def merge_profiles(profiles: DataFrame, moves: DataFrame, fields: Sequence[str])
     return d.select("character_id", *[F.coalesce(f, f"_{f}").alias(f) for f in fields], "source", F.coalesce("refused", F.lit(False)).alias("refused"))
 
 
+def promoted(edges: DataFrame, a: str, b: str, roles: DataFrame, least: int = 3) -> DataFrame:
+    """(id, degree, role): ends of edges with their number of edges; a supporting one with ``least`` becomes main, none is demoted.
+
+    ``roles`` has id and role; ends without one are supporting. An edge with a null end counts for neither.
+    """
+    e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    n = e.select(F.col(a).alias("id")).unionAll(e.select(F.col(b).alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    role = F.coalesce("role", F.lit("supporting"))
+    return n.join(roles.select("id", "role"), "id", "left").select("id", "degree", F.when((F.col("degree") >= least) & (role == "supporting"), "main").otherwise(role).alias("role"))
+
+
+def merged_edges(edges: DataFrame, a: str, b: str, label: str) -> DataFrame:
+    """(low, high, dominant, edges, dominant_edges, others): one edge per unordered pair; its commonest label, ties by the label, and the others in that order."""
+    d = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.least(a, b).alias("low"), F.greatest(a, b).alias("high"), F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    d = d.groupBy("low", "high").agg(F.sum("n").alias("edges"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "label"))).alias("l"))  # as many as labels
+    return d.select("low", "high", F.col("l")[0]["label"].alias("dominant"), "edges", (-F.col("l")[0]["n"]).alias("dominant_edges"), F.transform(F.slice("l", 2, 1 << 30), lambda x: x["label"]).alias("others"))
+
+
 def split_aliases(aliases: DataFrame, source_id: str, new_id: str, moved: Sequence[str]) -> DataFrame:
     """Aliases after some of one entity went to a new one; they count as written by the user from then on."""
     keys = [m.strip().lower() for m in moved]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.operators import entities as E
 from quire.operators import relational as R
 from quire.session import read_table
 
@@ -372,20 +373,19 @@ def newest_profile(spark, sf):
 
 
 @query("""with e as (select distinct survivor_id a, absorbed_id b from merge_requests where survivor_id is not null and absorbed_id is not null),
-n as (select a as id from e union all select b from e)
-select id, count(*) as degree, case when count(*) >= 3 then 'main' else 'supporting' end as role from n group by 1""")
+n as (select id, count(*) as degree from (select a as id from e union all select b from e) group by 1), r as (select character_id as id, min(role) as role from characters group by 1)
+select n.id, degree, case when degree >= 3 and coalesce(role, 'supporting') = 'supporting' then 'main' else coalesce(role, 'supporting') end as role from n left join r using (id)""")
 def role_promotion(spark, sf):
-    """Edges at either end count; three make a supporting figure a main one."""
-    e = read_table(spark, sf, "merge_requests").select("survivor_id", "absorbed_id").distinct().where("survivor_id is not null and absorbed_id is not null")
-    n = e.select(F.col("survivor_id").alias("id")).unionAll(e.select(F.col("absorbed_id").alias("id")))
-    return n.groupBy("id").agg(F.count(F.lit(1)).alias("degree")).withColumn("role", F.when(F.col("degree") >= 3, "main").otherwise("supporting"))
+    """Edges at either end count; three make a supporting figure a main one, and none is ever demoted."""
+    e = read_table(spark, sf, "merge_requests").select("survivor_id", "absorbed_id").distinct()
+    roles = read_table(spark, sf, "characters").groupBy(F.col("character_id").alias("id")).agg(F.min("role").alias("role"))
+    return E.promoted(e, "survivor_id", "absorbed_id", roles)
 
 
-@query("""with e as (select least(survivor_id, absorbed_id) as low, greatest(survivor_id, absorbed_id) as high, book_id from merge_requests where survivor_id is not null and absorbed_id is not null),
-c as (select low, high, book_id, count(*) as n from e group by all), r as (select *, row_number() over (partition by low, high order by n desc, book_id) as rn, sum(n) over (partition by low, high) as edges from c)
-select low, high, book_id as dominant, edges, n as dominant_edges from r where rn = 1""")
+@query("""with e as (select least(survivor_id, absorbed_id) as low, greatest(survivor_id, absorbed_id) as high, coalesce(book_id, '') as label from merge_requests where survivor_id is not null and absorbed_id is not null),
+c as (select low, high, label, count(*) as n from e group by all), r as (select low, high, sum(n)::bigint as edges, list(label order by n desc, label) as l, max(n) as dominant_edges from c group by 1, 2)
+select low, high, l[1] as dominant, edges, dominant_edges, array_to_string(l[2:], '|') as others from r""")
 def edge_merge(spark, sf):
-    """Parallel edges become one per unordered pair, with the dominant label."""
-    e = R.unordered(read_table(spark, sf, "merge_requests"), "survivor_id", "absorbed_id").groupBy("low", "high", "book_id").agg(F.count(F.lit(1)).alias("n"))
-    best = e.groupBy("low", "high").agg(F.sum("n").alias("edges"), F.min(F.struct((-F.col("n")).alias("n"), F.col("book_id"))).alias("m"))
-    return best.select("low", "high", F.col("m.book_id").alias("dominant"), "edges", (-F.col("m.n")).alias("dominant_edges"))
+    """Parallel edges become one per unordered pair, with the dominant label and the others."""
+    e = read_table(spark, sf, "merge_requests").withColumn("label", F.coalesce("book_id", F.lit("")))
+    return E.merged_edges(e, "survivor_id", "absorbed_id", "label").withColumn("others", F.array_join("others", "|"))

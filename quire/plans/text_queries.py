@@ -221,11 +221,16 @@ def alias_confidence(spark, sf):
     return a.select("character_id", "alias", score.alias("score"), N.alias_tier(score).alias("tier"))
 
 
-@query("""with r as (select distinct character_id, book_id, aliases from characters), a as (select book_id, unnest(aliases) as alias from r)
-select book_id, count(*) as aliases, count(*) filter (alias is null or alias = '') as empty, count(*) filter (length(alias) < 6) as short from a group by 1""")
+@query("""with r as (select distinct character_id, book_id, name, aliases from characters), a as (select book_id, name, len(aliases) as n, unnest(list_distinct(aliases)) as alias from r),
+s as (select book_id, case when coalesce(name, '') = '' or coalesce(alias, '') = '' then 0 when lower(trim(name)) = lower(trim(alias)) then 1.0
+else round(greatest(0, least(1, (0.6 + least(0.2, length(alias) % 5 * 0.05)) * case when n > 3 then pow(0.85, n - 3) else 1 end)), 2) end as score from a)
+select book_id, count(*) as aliases, count(*) filter (score < 0.6) as low from s group by 1""")
 def low_confidence_aliases(spark, sf):
-    a = read_table(spark, sf, "characters").select("character_id", "book_id", "aliases").distinct().select("book_id", F.explode("aliases").alias("alias"))
-    return a.groupBy("book_id").agg(F.count(F.lit(1)).alias("aliases"), F.count_if(F.col("alias").isNull() | (F.col("alias") == "")).alias("empty"), F.count_if(F.length("alias") < 6).alias("short"))
+    """Aliases per book, and those whose confidence is under the middle tier."""
+    r = read_table(spark, sf, "characters").select("character_id", "book_id", "name", "aliases").distinct()
+    a = r.select("book_id", "name", F.size("aliases").alias("n"), F.explode(F.array_distinct("aliases")).alias("alias"))
+    score = N.alias_confidence(F.col("name"), F.col("alias"), F.lit("llm"), F.col("n"), F.length("alias") % 5)
+    return a.groupBy("book_id").agg(F.count(F.lit(1)).alias("aliases"), F.count_if(score < N.MEDIUM).alias("low"))
 
 
 @query("""select character_id, case when role in ('main', 'supporting', 'minor', 'crowd') then role when len(coalesce(aliases, [])) >= 3 then 'main' when len(coalesce(aliases, [])) = 0 then 'minor' else 'supporting' end as role
