@@ -43,6 +43,8 @@ NICKNAMES = 3
 MOST_LEARNED = 100_000
 #: Rows of one (book, q-gram) that are compared within one task; more are split into parts, every two of which meet.
 HOT = 2000
+#: Hot q-grams that are broadcast at most.
+FEW_HOT = 100_000
 #: One cell of the component grid is enough here, since edges of names are few beside the names.
 LEAST_BLOCKS = 1
 
@@ -400,7 +402,9 @@ def candidates(forms: DataFrame) -> DataFrame:
     prefix = sets.select("*", F.posexplode(F.slice("grams", F.lit(1), F.col("n") - F.ceil(F.col("n") * SHARED).cast("int") + 1)).alias("pos", "gram"))
     prefix = cut(prefix)
     parts = prefix.groupBy("book_id", "gram").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > HOT).select("book_id", "gram", F.ceil(F.col("rows") / HOT).cast("int").alias("parts"))
-    prefix = prefix.join(parts, ["book_id", "gram"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    parts = cut(parts)
+    few = parts.limit(FEW_HOT + 1).count() <= FEW_HOT  # checked, so a table of hot grams that grows is joined by a shuffle
+    prefix = prefix.join(F.broadcast(parts) if few else parts, ["book_id", "gram"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("form"), F.col("parts").cast("long")).cast("int")
     prefix = prefix.withColumn("own", own)
 
