@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import cut
+from quire.session import cut, shuffled
 
 #: Edges that one cell should hold at most, a hot row included; sets the number of blocks.
 CELL_EDGES = 500_000
@@ -83,21 +83,22 @@ def connected_components(pairs: DataFrame, left: str, right: str, least_blocks:
         # Row and column representatives meet: a vertex takes the least of them, and at once that one's own.
         best = found.groupBy("vertex").agg(F.min(F.struct("rank", "rep")).alias("m")).select("vertex", F.col("m.rep").alias("to"))
         onward = best.select(F.col("vertex").alias("to"), F.col("to").alias("far"))
-        jump = cut(best.join(onward, "to", "left").select("vertex", F.coalesce("far", "to").alias("label")))
+        jump = cut(shuffled(best, onward, "to", "left").select("vertex", F.coalesce("far", "to").alias("label")))
         # Where cells disagree, the new parents are linked in the next round.
         ends = jump.select(F.col("vertex").alias("rep"), F.col("label").alias("b"))
-        nxt = found.where("vertex <> rep").join(jump, "vertex").select("label", "rep").distinct().join(ends, "rep").where("label <> b")
+        nxt = shuffled(found.where("vertex <> rep"), jump, "vertex").select("label", "rep").distinct()
+        nxt = shuffled(nxt, ends, "rep").where("label <> b")
         nxt = cut(nxt.select(F.least("label", "b").alias("u"), F.greatest("label", "b").alias("v")).distinct())
         if labels is None:
             labels = jump
         else:
             move = jump.select(F.col("vertex").alias("label"), F.col("label").alias("moved"))
-            labels = cut(labels.join(move, "label", "left").select("vertex", F.coalesce("moved", "label").alias("label")))
+            labels = cut(shuffled(labels, move, "label", "left").select("vertex", F.coalesce("moved", "label").alias("label")))
         edges, seed = nxt, seed + 1
     if labels is None:
         return edges.select(F.col("u").alias("id"), F.col("v").alias("group_id"))
     least = labels.groupBy("label").agg(F.min("vertex").alias("least"))
-    return labels.join(least, "label").select(F.col("vertex").alias("id"), F.col("least").alias("group_id"))
+    return shuffled(labels, least, "label").select(F.col("vertex").alias("id"), F.col("least").alias("group_id"))
 
 
 def brute_force_components(pairs: pd.DataFrame, left: str, right: str) -> dict[str, str]:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.components import connected_components
 from quire.llm.lookalikes import _counts, _dominant, _substituted, normal
-from quire.session import cut
+from quire.session import cut, shuffled
 
 #: q-grams and the Jaccard similarity of their sets that candidates must reach.
 Q, SHARED = 3, 0.35
@@ -175,7 +175,7 @@ def forms_of_address(records: DataFrame) -> frozenset[str]:
     ways = [F.struct(F.substring_index("text", " ", k).alias("first"), F.expr(f"substring(text, length(substring_index(text, ' ', {k})) + 2)").alias("rest")) for k in (1, 2)]
     begun = d.select("book_id", "text", F.explode(F.array(*ways)).alias("w")).select("book_id", "w.first", "w.rest").where("instr(rest, ' ') > 0")
     known = d.select("book_id", F.col("text").alias("rest"), F.lit(1).alias("hit"))
-    n = begun.join(known, ["book_id", "rest"], "left").groupBy("first").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"))
+    n = shuffled(begun, known, ["book_id", "rest"], "left").groupBy("first").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"))
     n = n.where((F.col("hits") >= ADDRESSES) & (F.col("hits") >= ADDRESS_SHARE * F.col("n")))
     return frozenset(r["first"].rstrip(".") for r in _held(n.select("first")))
 
@@ -397,14 +397,14 @@ def candidates(forms: DataFrame) -> DataFrame:
     d = cut(forms.select("book_id", "form").distinct().mapInArrow(_keys, "book_id string, form string, size int, variant int, keys array<string>, token string"))
     grams = d.where("variant >= 0").select("book_id", "form", "variant", F.explode("keys").alias("gram"))
     rarity = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    sets = grams.join(rarity, "gram").groupBy("book_id", "form", "variant").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
+    sets = shuffled(grams, rarity, "gram").groupBy("book_id", "form", "variant").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
     sets = sets.select("book_id", "form", F.transform("g", lambda x: F.xxhash64(x["gram"])).alias("grams"), F.size("g").alias("n"))
     prefix = sets.select("*", F.posexplode(F.slice("grams", F.lit(1), F.col("n") - F.ceil(F.col("n") * SHARED).cast("int") + 1)).alias("pos", "gram"))
     prefix = cut(prefix)
     parts = prefix.groupBy("book_id", "gram").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > HOT).select("book_id", "gram", F.ceil(F.col("rows") / HOT).cast("int").alias("parts"))
     parts = cut(parts)
     few = parts.limit(FEW_HOT + 1).count() <= FEW_HOT  # checked, so a table of hot grams that grows is joined by a shuffle
-    prefix = prefix.join(F.broadcast(parts) if few else parts, ["book_id", "gram"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    prefix = (prefix.join(F.broadcast(parts), ["book_id", "gram"], "left") if few else shuffled(prefix, parts, ["book_id", "gram"], "left")).withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("form"), F.col("parts").cast("long")).cast("int")
     prefix = prefix.withColumn("own", own)
 
@@ -416,16 +416,16 @@ def candidates(forms: DataFrame) -> DataFrame:
 
     room = F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb"))
     need = (F.col("na") + F.col("nb")) * (SHARED / (1 + SHARED)) - 1e-6
-    near = side("a", True).join(side("b", False), ["book_id", "gram", "row", "col"]).where(((F.col("row") != F.col("col")) | (F.col("forma") < F.col("formb"))) & (F.col("forma") != F.col("formb")) & (room >= need))
+    near = shuffled(side("a", True), side("b", False), ["book_id", "gram", "row", "col"]).where(((F.col("row") != F.col("col")) | (F.col("forma") < F.col("formb"))) & (F.col("forma") != F.col("formb")) & (room >= need))
     near = near.where(F.size(F.array_intersect("gramsa", "gramsb")) >= need)
     pair = lambda d, x, y: d.select("book_id", F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     near = pair(near, "forma", "formb")
     tokens = d.where("variant < 0")
     borne = tokens.where("token is not null").select("book_id", "form", "token").distinct().groupBy("book_id", "token").agg(F.count(F.lit(1)).alias("df"))
-    rarest = tokens.where("token is not null").join(borne, ["book_id", "token"]).groupBy("book_id", F.col("form").alias("part")).agg(F.min(F.struct("df", "variant", "size", "keys")).alias("m"))
+    rarest = shuffled(tokens.where("token is not null"), borne, ["book_id", "token"]).groupBy("book_id", F.col("form").alias("part")).agg(F.min(F.struct("df", "variant", "size", "keys")).alias("m"))
     less = rarest.select("book_id", "part", F.col("m.size").alias("less"), F.explode("m.keys").alias("key"))
     wholes = tokens.where("size > 2").select("book_id", F.col("form").alias("whole"), "size", F.explode("keys").alias("key"))
-    held = less.join(wholes, ["book_id", "key"]).where("less < size")
+    held = shuffled(less, wholes, ["book_id", "key"]).where("less < size")
     return near.unionByName(pair(held, "part", "whole")).distinct()
 
 
@@ -433,7 +433,7 @@ def _with_counts(forms: DataFrame) -> tuple[DataFrame, int]:
     """``forms`` with how many names of all books have each token, in the order of the tokens; and how many names there are."""
     named = forms.where("not alias")  # weak aliases make no token usual
     tokens = named.select("form", F.explode(F.split("form", " ")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    each = forms.select("book_id", "form", F.posexplode(F.split("form", " ")).alias("i", "token")).join(tokens, "token", "left")
+    each = shuffled(forms.select("book_id", "form", F.posexplode(F.split("form", " ")).alias("i", "token")), tokens, "token", "left")
     n = each.groupBy("book_id", "form").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("df", F.lit(0)).alias("df")))).alias("t"))
     return n.select("book_id", "form", F.col("t.df").alias("n")), named.count()
 
@@ -444,7 +444,7 @@ def links_between(forms: DataFrame, nick: frozenset = frozenset()) -> DataFrame:
     counts = cut(counts)
     pairs = candidates(forms)
     for x in ("a", "b"):
-        pairs = pairs.join(counts.select("book_id", F.col("form").alias(x), F.col("n").alias("n" + x)), ["book_id", x])
+        pairs = shuffled(pairs, counts.select("book_id", F.col("form").alias(x), F.col("n").alias("n" + x)), ["book_id", x])
     return pairs.mapInArrow(_verified(total, nick), "book_id string, a string, b string, link string")
 
 
@@ -465,14 +465,14 @@ def same_entities(records: DataFrame) -> DataFrame:
     # an alias whose joined tokens are a full name is that name; other weak aliases are looked at in the second round
     run_together = links.where("link = 'same' and (instr(a, ' ') > 0) <> (instr(b, ' ') > 0)")
     run_together = run_together.select("book_id", F.when(F.instr("a", " ") > 0, F.col("b")).otherwise(F.col("a")).alias("form"), F.lit(True).alias("full")).distinct()
-    kind = every_form.join(run_together, ["book_id", "form"], "left").withColumn("full", F.coalesce("full", F.lit(False)))
+    kind = shuffled(every_form, run_together, ["book_id", "form"], "left").withColumn("full", F.coalesce("full", F.lit(False)))
     kind = cut(kind.select("book_id", "form", node("form").alias("node"), (F.col("weak") & ~F.col("full")).alias("lesser"), (F.col("alias") & ~F.col("full")).alias("aside"), "full"))
-    owners = forms.select("book_id", "record", "weak", "alias", "form").join(kind.select("book_id", "form", "node", "full"), ["book_id", "form"])
+    owners = shuffled(forms.select("book_id", "record", "weak", "alias", "form"), kind.select("book_id", "form", "node", "full"), ["book_id", "form"])
     owners = owners.select("record", F.col("node").alias("form"), F.col("form").alias("text"), (F.col("weak") & ~F.col("full")).alias("weak"), (F.col("alias") & ~F.col("full")).alias("alias"))
     owners = cut(owners)
     ends = links
     for x in ("a", "b"):
-        ends = ends.join(kind.select("book_id", F.col("form").alias(x), F.col("node").alias("node_" + x), F.col("lesser").alias("lesser_" + x), F.col("aside").alias("aside_" + x)), ["book_id", x])
+        ends = shuffled(ends, kind.select("book_id", F.col("form").alias(x), F.col("node").alias("node_" + x), F.col("lesser").alias("lesser_" + x), F.col("aside").alias("aside_" + x)), ["book_id", x])
     ends = cut(ends)
     own = owners.where("not weak").select(F.col("record").alias("u"), F.col("form").alias("v"))
     sure = ends.where("link = 'same' and not aside_a and not aside_b").select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
@@ -486,30 +486,30 @@ def same_entities(records: DataFrame) -> DataFrame:
         pick("node_a", "node_b").alias("part"), pick("aside_a", "aside_b").alias("called"), pick("node_b", "node_a").alias("form"), pick("lesser_b", "lesser_a").alias("lesser"), pick("aside_b", "aside_a").alias("aside"),
         F.length("link").alias("doubt"),
     )
-    fits = fits.where("not aside").join(groups, "form", "left").withColumn("to", F.coalesce("group_id", "form")).drop("group_id", "form", "aside")
+    fits = shuffled(fits.where("not aside"), groups, "form", "left").withColumn("to", F.coalesce("group_id", "form")).drop("group_id", "form", "aside")
     mine = groups.select(F.col("form").alias("part"), F.col("group_id").alias("own"))
-    fits = fits.join(mine, "part", "left").where("own is null or own <> to").withColumn("part", F.coalesce("own", "part"))
+    fits = shuffled(fits, mine, "part", "left").where("own is null or own <> to").withColumn("part", F.coalesce("own", "part"))
     fits = cut(fits.groupBy("part", "called", "to").agg(F.min("lesser").alias("lesser"), F.min("doubt").alias("doubt")))
     # a group that is part of just one other stands for that one
-    up = fits.where("not called and not lesser").join(groups.select(F.col("group_id").alias("part")).distinct(), "part", "left_semi")
+    up = shuffled(fits.where("not called and not lesser"), groups.select(F.col("group_id").alias("part")).distinct(), "part", "left_semi")
     up = up.groupBy("part").agg(F.min("to").alias("above"), F.max("to").alias("w"), F.min("doubt").alias("doubt")).where("above = w and doubt = 1").select(F.col("part").alias("to"), "above")
-    fits = fits.join(up, "to", "left").withColumn("to", F.coalesce("above", "to")).where("to <> part")
+    fits = shuffled(fits, up, "to", "left").withColumn("to", F.coalesce("above", "to")).where("to <> part")
     best = fits.groupBy("part", "called").agg(F.min("lesser").alias("lesser"))
-    fits = fits.join(best, ["part", "called", "lesser"]).groupBy("part", "called").agg(F.min("to").alias("v"), F.count_distinct("to").alias("fit"), F.min("doubt").alias("doubt"))
+    fits = shuffled(fits, best, ["part", "called", "lesser"]).groupBy("part", "called").agg(F.min("to").alias("v"), F.count_distinct("to").alias("fit"), F.min("doubt").alias("doubt"))
     fits = cut(fits.withColumn("fit", F.when((F.col("fit") == 1) & (F.col("doubt") > 1), F.lit(2)).otherwise(F.col("fit"))))
     single = fits.where("not called and fit = 1").select(F.col("part").alias("u"), "v").unionByName(up.select(F.col("to").alias("u"), F.col("above").alias("v")))
     called = _called(owners.where("alias"), fits.where("called").select(F.col("part").alias("form"), F.col("v").alias("l"), "fit"), groups, d)
     of = lambda c: groups.select(F.col("form").alias(c), F.col("group_id").alias(f"_{c}"))
-    weak_own = owners.where("weak and not alias").join(of("record"), "record", "left").join(of("form"), "form", "left")
+    weak_own = shuffled(shuffled(owners.where("weak and not alias"), of("record"), "record", "left"), of("form"), "form", "left")
     weak_own = weak_own.select(F.coalesce("_record", "record").alias("u"), F.coalesce("_form", "form").alias("v"))
     # only groups that are joined by something, and records known by such a part alone, take part in the second round
     late = connected_components(single.unionByName(weak_own).unionByName(called), "u", "v", LEAST_BLOCKS).select(F.col("id").alias("group_id"), F.col("group_id").alias("late"))
     late = cut(late)
-    early = groups.withColumnRenamed("form", "record").join(late, "group_id", "left").select("record", F.coalesce("late", "group_id").alias("group_id"))
-    alone = late.select(F.col("group_id").alias("record"), F.col("late").alias("group_id")).join(groups.select(F.col("form").alias("record")), "record", "left_anti")
+    early = shuffled(groups.withColumnRenamed("form", "record"), late, "group_id", "left").select("record", F.coalesce("late", "group_id").alias("group_id"))
+    alone = shuffled(late.select(F.col("group_id").alias("record"), F.col("late").alias("group_id")), groups.select(F.col("form").alias("record")), "record", "left_anti")
     every = early.unionByName(alone)
     books = d.select("record", "book_id").distinct()
-    return books.join(every, "record").select("book_id", "record", "group_id")
+    return shuffled(books, every, "record").select("book_id", "record", "group_id")
 
 
 def _called(owners: DataFrame, told: DataFrame, groups: DataFrame, records: DataFrame) -> DataFrame:
@@ -520,20 +520,20 @@ def _called(owners: DataFrame, told: DataFrame, groups: DataFrame, records: Data
     records has; a group whose aliases fit several others joins none.
     """
     of = groups.select(F.col("form").alias("record"), "group_id")
-    owned = owners.select("record", "form", "text").join(of, "record", "left").select("form", "text", F.coalesce("group_id", "record").alias("o")).distinct()
+    owned = shuffled(owners.select("record", "form", "text"), of, "record", "left").select("form", "text", F.coalesce("group_id", "record").alias("o")).distinct()
     least = max(USUAL, GENERIC_SHARE * records.count())
     generic = owned.groupBy("text").agg(F.count_distinct("o").alias("n")).where(F.col("n") >= least).select("text")
     # what an alias fits: groups of longer forms, else records that have it as their name
-    asked = owned.join(generic, "text", "left_anti").join(told, "form", "left").withColumn("l", F.coalesce("l", "form"))
+    asked = shuffled(shuffled(owned, generic, "text", "left_anti"), told, "form", "left").withColumn("l", F.coalesce("l", "form"))
     asked = asked.where("coalesce(fit, 1) = 1 and o <> l")
     alone = asked.groupBy("form").agg(F.min("o").alias("u"), F.max("o").alias("w"), F.min("l").alias("v"), F.max("fit").alias("fit")).where("u = w")
     # what fits nothing can only meet a record of that name, so it doesn't count among the groups that are fitted
     one = alone.groupBy("u").agg(F.min(F.when(F.col("fit") == 1, F.col("v"))).alias("x"), F.max(F.when(F.col("fit") == 1, F.col("v"))).alias("y"))
-    return alone.join(one.where("x is null or x = y").select("u"), "u").select("u", "v")
+    return shuffled(alone, one.where("x is null or x = y").select("u"), "u").select("u", "v")
 
 
 def entity_pairs(groups: DataFrame) -> DataFrame:
     """All pairs of records of one group and book, the smaller id first: (first_id, second_id)."""
     a = groups.select("book_id", "group_id", F.col("record").alias("first_id"))
     b = groups.select("book_id", "group_id", F.col("record").alias("second_id"))
-    return a.join(b, ["book_id", "group_id"]).where("first_id < second_id").select("first_id", "second_id").distinct()
+    return shuffled(a, b, ["book_id", "group_id"]).where("first_id < second_id").select("first_id", "second_id").distinct()

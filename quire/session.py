@@ -43,6 +43,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shuffled(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join by shuffle and sort, whatever size Spark takes ``right`` for.
+
+    Spark's estimate counts a column of q-grams, keys or Python's output at its size before it was exploded, also
+    behind a checkpoint, so tables of hundreds of megabytes would be broadcast through the driver.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

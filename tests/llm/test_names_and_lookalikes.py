@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 
 import pytest
 
@@ -157,3 +158,19 @@ def test_twins_within_a_script(spark):
     rows = [("name", "b", "1", "Ðào Mai"), ("name", "b", "2", "Đào Mai"), ("name", "b", "3", "Ðorn"), ("name", "b", "4", "đào Mai")]
     d = spark.createDataFrame(rows, "item_kind string, book_id string, item_id string, text string")
     assert {tuple(r) for r in L.look_alike_pairs(L.consistent_forms(d)).collect()} == {("name", "1", "2")}
+
+
+def test_names_are_not_joined_through_the_driver(spark, sf):
+    """Only the counted table of hot q-grams is broadcast: Spark takes exploded columns for as small as what they came from."""
+    from quire.llm.name_queries import p4_found
+
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    runs = store.executionsList()
+    before = max((runs.apply(i).executionId() for i in range(runs.size())), default=-1)
+    assert p4_found(spark, sf).count() > 0
+    bus.waitUntilEmpty()
+    runs = store.executionsList()
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size()) if runs.apply(i).executionId() > before]
+    assert any("SortMergeJoin" in p for p in plans)
+    assert [k for p in plans for k in re.findall(r"\) Broadcast\w+Join.*\n(?:Left keys \[\d+\]: (.*))?", p) if "gram#" not in k or "row#" in k] == []
