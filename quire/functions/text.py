@@ -116,8 +116,9 @@ def decorative_only(text: Column) -> Column:
 
 def speakable(text: Column) -> Column:
     """Without clusters of three or more ornaments, without ornaments at the ends, white space collapsed."""
-    out = F.regexp_replace(text, f"{ORNAMENTS}(?:\\s*{ORNAMENTS}){{2,}}", " ")
-    return collapse(F.regexp_replace(out, f"^(?:\\s|{ORNAMENTS})+|(?:\\s|{ORNAMENTS})+$", ""))
+    either = f"[\\s{ORNAMENTS[1:-1]}]"  # one class, since a repeated group takes a stack frame for every sign of a run
+    out = F.regexp_replace(text, f"{ORNAMENTS}\\s*+{ORNAMENTS}\\s*+{ORNAMENTS}(?:{either}*{ORNAMENTS})?", " ")
+    return collapse(F.regexp_replace(out, f"^{either}++|(?<!{either}){either}++$", ""))
 
 
 def new_signs_removed(source: Column, output: Column) -> Column:

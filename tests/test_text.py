@@ -48,6 +48,13 @@ def test_sentences_and_quotes(one):
     assert one(T.quote_balance, "“a “b”") == 1
 
 
+def test_speakable_of_long_runs(one):
+    for run in (" ", "-", "* ", "\n", "* \n"):
+        assert one(T.speakable, f"a{run * 100_000}b{run * 100_000}") == "a b"
+        assert one(T.speakable, f"{run * 100_000}a") == "a"
+    assert one(T.speakable, f"a -{' ' * 100_000}- b") == "a - - b"
+
+
 def test_small_cleaners(one):
     assert one(T.decorative_only, " * * * ") is True
     assert one(T.decorative_only, "* 1") is False
